@@ -116,15 +116,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def shingles_of(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
-    """Per row the sorted distinct hashes of its ``size``-word shingles; fewer words: the whole sequence as
-    one; none: empty."""
+def shingles_of(hashes: np.ndarray, first: np.ndarray, lengths: np.ndarray, size: int) -> list[np.ndarray]:
+    """Per row the sorted distinct codes of its ``size``-word shingles; fewer words: the whole sequence as one;
+    none: empty. A code is 6 bits of inverted length in bytes (63 or more are 0) and 58 of hash, so that long
+    shingles, which are rare ones, come first."""
     n = len(hashes)
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+
+    def code(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return ((63 - np.minimum(length, 63)).astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
+
     if n >= size:
         windows = np.zeros(n - size + 1, dtype=np.uint64)
         for k in range(size):
             windows += mix(hashes[k : n - size + 1 + k] * _K[k % 6] + np.uint64(k))
-        windows = mix(windows)
+        windows = code(mix(windows), upto[size:] - upto[:-size])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
@@ -133,7 +139,7 @@ def shingles_of(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.nda
             whole = np.full(1, b - a, dtype=np.uint64)
             for k in range(a, b):
                 whole = mix(hashes[k : k + 1] * _K[(k - a) % 6] + whole)
-            out.append(whole)
+            out.append(code(whole, upto[b : b + 1] - upto[a]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join.
 
 A document is its set of distinct word shingles. Equal sets are one node. Nodes meet in tiles: a tile is a shingle
-of the nodes' prefixes (in an order that puts the most frequent shingles last, any two sets that are similar enough
-share one there) and a band of set sizes. In a tile, hashed bitmap signatures (a bit is the parity of the elements
+of the nodes' prefixes (in an order that puts long shingles first and the most frequent ones last; in any order two
+sets that are similar enough share one there) and a band of set sizes. In a tile, hashed bitmap signatures (a bit is the parity of the elements
 that hash to it, so differing bits never outnumber differing elements) bound overlaps from above; what passes is
 checked by intersecting the sorted arrays.
 
@@ -39,12 +39,12 @@ def _key(s: np.ndarray) -> bytes:
 
 def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for at, data, offsets in text_slices(texts):
-        hashes, first, _, _ = words_of(data, offsets)
-        yield at, shingles_of(hashes, first, words)
+        hashes, first, starts, ends = words_of(data, offsets)
+        yield at, shingles_of(hashes, first, ends - starts, words)
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, node, n), and (shingle, times) of those found three times or more
+    """Rows of two kinds: a document's (doc_id, node, n, signature), and (shingle, times) of those found three times or more
     among the sets of a few thousand documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +57,12 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             held.clear()
             return s[n >= 3], n[n >= 3]
 
-        def rows(ids, keys, sizes, s, times) -> pa.RecordBatch:
+        def rows(ids, keys, sizes, signatures, s, times) -> pa.RecordBatch:
             a, b = len(keys), len(s)
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([ids, pa.nulls(b, pa.int64())]), pa.array(keys + [None] * b, pa.binary()), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(b, pa.int64())])]
-                + [pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
-                names=["doc_id", "node", "n", "shingle", "times"],
+                + [pa.array(signatures + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
+                names=["doc_id", "node", "n", "signature", "shingle", "times"],
             )
 
         none, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
@@ -74,10 +74,10 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                         seen.add(k)
                         held.append(s)
                 over = sum(map(len, held)) > 1_500_000
-                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], *(frequent() if over else none))
-        yield rows(pa.nulls(0, pa.int64()), [], [], *frequent())
+                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], *(frequent() if over else none))
+        yield rows(pa.nulls(0, pa.int64()), [], [], [], *frequent())
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, shingle bigint, times bigint")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, shingle bigint, times bigint")
 
 
 def _least(n: int, percent: int) -> int:
@@ -171,44 +171,67 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+#: Nodes whose ids are broadcast to the texts at most; more meet them by a shuffle.
+BROADCAST_NODES = 500_000
+
+
 def _arrays(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, items, signature) of ``nodes`` (doc_id, node), from the text of the document that stands for it."""
+    """(node, items) of ``nodes`` (doc_id, node; a written table), from the text of the document that stands for
+    the node."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _sets(batch.column(0), words):
                 want = batch.column(1).slice(at, len(sets)).to_pylist()
-                got = [(k, len(s), s.tobytes(), _signature(s)) for k, s in zip(want, sets) if _key(s) == k]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*got)) or [[]] * 4, (pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["node", "n", "items", "signature"])
+                got = [(k, s.tobytes()) for k, s in zip(want, sets) if _key(s) == k]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in list(zip(*got)) or [[]] * 2], names=["node", "items"])
 
     wanted = nodes.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
+    if nodes.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_node")
-    return texts.mapInArrow(read, "node binary, n int, items binary, signature binary")
+    return texts.mapInArrow(read, "node binary, items binary")
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets are similar enough: bit counts first, then exact intersection."""
+def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            na, nb = c["na"].to_numpy().astype(np.int64), c["nb"].to_numpy().astype(np.int64)
-            sa, sb = (np.frombuffer(b"".join(c[x].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for x in ("sa", "sb"))
+            na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
+            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for k in (3, 6))
             most = (na + nb - _differing(sa, sb)) // 2
-            ok = np.zeros(len(na), dtype=bool)
-            for i in np.flatnonzero(100 * most >= percent * (na + nb - most)):
-                x, y = (np.frombuffer(c[k][int(i)].as_buffer(), dtype=np.uint64) for k in ("ia", "ib"))
+            ok = pa.array((100 * most >= percent * (na + nb - most)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7)], names=["a", "b", "ia", "ib"])
+
+    one = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("doc_id").alias("ib"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "ia", "na", "sa", "b", "nb", "sb", "ib")
+    return met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b; ids) of those ``pairs`` of nodes whose sets are similar enough: bit counts first, then exact
+    intersection of the sorted arrays, which only candidates carry."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(len(ok)):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    one = arrays.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"), F.col("signature").alias("sa"))
-    two = arrays.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"), F.col("signature").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(read, "a binary, b binary")
+    found = materialize(_candidates(pairs, nodes, percent), "join-candidates")
+    named = found.select(F.col("a").alias("node"), F.col("ia").alias("doc_id")).union(found.select("b", "ib")).distinct()
+    arrays = materialize(_arrays(docs, materialize(named, "join-named"), words), "join-arrays")
+    both = found.join(arrays.select(F.col("node").alias("a"), F.col("items").alias("xa")), "a").join(arrays.select(F.col("node").alias("b"), F.col("items").alias("xb")), "b")
+    return both.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "xa", "xb").mapInArrow(read, "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -232,12 +255,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def _across(shared: DataFrame, arrays: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a tile and that place, size and bit counts
     don't exclude. Chunks of a shingle's nodes meet in pairs, by size, and only those whose bands touch."""
     rows = shared.join(component, "node")
     open_ = rows.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("shingle")
-    rows = materialize(rows.join(open_, "shingle").join(arrays.select("node", "signature"), "node").select("shingle", "node", "n", "place", "component", "signature"), "join-open")
+    rows = materialize(rows.join(open_, "shingle").join(nodes.select("node", "signature"), "node").select("shingle", "node", "n", "place", "component", "signature"), "join-open")
     number = F.row_number().over(Window.partitionBy("shingle").orderBy("n", "node"))
     rows = rows.withColumn("chunk", F.floor((number - 1) / CHUNK).cast("int"))
     spans = rows.groupBy("shingle", "chunk").agg(F.min("n").alias("_small"), F.max("n").alias("_large"))
@@ -307,19 +330,14 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     usable = docs.filter("doc_id is not null")
     shared = materialize(_shared(_tiles(usable, words, percent, hot, times), percent), "join-shared")
     ids = found.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = materialize(shared.select("node").distinct().join(ids, "node"), "join-nodes")
-    arrays = materialize(_arrays(docs, nodes, words), "join-arrays")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        edges = _links(pairs, arrays, percent)
-        a, b = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("ia")), nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("ib"))
-        return edges.join(a, "a").join(b, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-
+    signed = read.filter("node is not null").select("node", "n", "signature").dropDuplicates(["node"])
+    nodes = materialize(shared.select("node").distinct().join(ids, "node").join(signed, "node"), "join-nodes")
     copies = found.filter("doc_id is not null and n > 0").join(ids.withColumnRenamed("doc_id", "b"), "node").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    stars = materialize(linked(shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "join-stars")
+    stars = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = materialize(_links(docs, stars, nodes, words, percent), "join-stars")
     roots = connected(stars)
     component = nodes.join(roots, nodes["doc_id"] == roots["id"], "left").select("node", F.coalesce("root", "doc_id").alias("component"))
-    across = linked(_across(shared, arrays, component, percent))
+    across = _links(docs, _across(shared, nodes, component, percent), nodes, words, percent)
     return found, connected(stars.union(across).union(copies))
 
 
