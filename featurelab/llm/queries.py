@@ -27,7 +27,7 @@ def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
