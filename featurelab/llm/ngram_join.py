@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix, shingles_of, text_slices, words_of
 
-#: Bits of a signature, nodes of a chunk, and the most frequent shingles at most.
-BITS, CHUNK, HOT = 1024, 256, 1 << 19
+#: Bits of a signature, of the wide one of sets over WIDE_FROM, nodes of a chunk, most frequent shingles at most.
+BITS, WIDE, WIDE_FROM, CHUNK, HOT = 1024, 16_384, 1500, 256, 1 << 19
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -44,7 +44,7 @@ def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, node, n, signature), and (shingle, times) of those found three times or more
+    """Rows of two kinds: a document's (doc_id, node, n, signature, wide), and (shingle, times) of those found twice or more
     among the sets of a few thousand documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,14 +55,14 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                 return np.zeros(0, np.uint64), np.zeros(0, np.int64)
             s, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return s[n >= 3], n[n >= 3]
+            return s[n >= 2], n[n >= 2]
 
-        def rows(ids, keys, sizes, signatures, s, times) -> pa.RecordBatch:
+        def rows(ids, keys, sizes, signatures, wide, s, times) -> pa.RecordBatch:
             a, b = len(keys), len(s)
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([ids, pa.nulls(b, pa.int64())]), pa.array(keys + [None] * b, pa.binary()), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(b, pa.int64())])]
-                + [pa.array(signatures + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
-                names=["doc_id", "node", "n", "signature", "shingle", "times"],
+                + [pa.array(signatures + [None] * b, pa.binary()), pa.array(wide + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
+                names=["doc_id", "node", "n", "signature", "wide", "shingle", "times"],
             )
 
         none, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
@@ -74,10 +74,10 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                         seen.add(k)
                         held.append(s)
                 over = sum(map(len, held)) > 1_500_000
-                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], *(frequent() if over else none))
-        yield rows(pa.nulls(0, pa.int64()), [], [], [], *frequent())
+                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], [_signature(s, WIDE) if len(s) >= WIDE_FROM else None for s in sets], *(frequent() if over else none))
+        yield rows(pa.nulls(0, pa.int64()), [], [], [], [], *frequent())
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, shingle bigint, times bigint")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, wide binary, shingle bigint, times bigint")
 
 
 def _least(n: int, percent: int) -> int:
@@ -166,8 +166,8 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(read, "shingle bigint, node binary, n int, place int, hub binary")
 
 
-def _signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+def _signature(s: np.ndarray, size: int = BITS) -> bytes:
+    bits = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -198,7 +198,8 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both."""
+    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both. Large sets,
+    whose differences would fill a signature, have a wide one for what passes the first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,12 +207,27 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for k in (3, 6))
             most = (na + nb - _differing(sa, sb)) // 2
             ok = pa.array((100 * most >= percent * (na + nb - most)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7)], names=["a", "b", "ia", "ib"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7, 2, 5)], names=["a", "b", "ia", "ib", "na", "nb"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, dtype=bool)
+            both = np.flatnonzero(~(np.asarray(batch.column(4).is_null()) | np.asarray(batch.column(5).is_null())))
+            if len(both):
+                at = pa.array(both)
+                na, nb = (batch.column(k).take(at).to_numpy().astype(np.int64) for k in (6, 7))
+                sa, sb = (np.frombuffer(b"".join(batch.column(k).take(at).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64) for k in (4, 5))
+                most = (na + nb - _differing(sa, sb)) // 2
+                ok[both] = 100 * most >= percent * (na + nb - most)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in range(4)], names=["a", "b", "ia", "ib"])
 
     one = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("doc_id").alias("ib"))
     met = pairs.join(one, "a").join(two, "b").select("a", "ia", "na", "sa", "b", "nb", "sb", "ib")
-    return met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint")
+    met = materialize(met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint, na bigint, nb bigint"), "join-met")
+    large = nodes.filter("wide is not null").select("node", "wide")
+    met = met.join(large.toDF("a", "wa"), "a", "left").join(large.toDF("b", "wb"), "b", "left").select("a", "b", "ia", "ib", "wa", "wb", "na", "nb")
+    return met.mapInArrow(again, "a binary, b binary, ia bigint, ib bigint")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -321,16 +337,15 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     """(doc_id, node, n of every document; doc_id and root of those that are linked)."""
     read = materialize(document_sets(docs, words), "join-sets")
     found = read.filter("node is not null").select("doc_id", "node", "n")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    often = read.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(16, total // HOT))
-    often = often.orderBy("shingle").toArrow()  # HOT rows at most: each is at least total / HOT of all
+    often = read.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter("times >= 8")
+    often = often.orderBy(F.desc("times"), "shingle").limit(HOT).toArrow()
     hot, times = np.asarray(often.column(0)), np.asarray(often.column(1))
     order = np.argsort(hot.view(np.uint64))
     hot, times = hot.view(np.uint64)[order], times[order]
     usable = docs.filter("doc_id is not null")
     shared = materialize(_shared(_tiles(usable, words, percent, hot, times), percent), "join-shared")
     ids = found.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    signed = read.filter("node is not null").select("node", "n", "signature").dropDuplicates(["node"])
+    signed = read.filter("node is not null").select("node", "n", "signature", "wide").dropDuplicates(["node"])
     nodes = materialize(shared.select("node").distinct().join(ids, "node").join(signed, "node"), "join-nodes")
     copies = found.filter("doc_id is not null and n > 0").join(ids.withColumnRenamed("doc_id", "b"), "node").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     stars = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
