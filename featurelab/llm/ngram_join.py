@@ -6,8 +6,8 @@ sets that are similar enough share one there) and a band of set sizes. In a tile
 that hash to it, so differing bits never outnumber differing elements) bound overlaps from above; what passes is
 checked by intersecting the sorted arrays.
 
-First each node is checked against its tile's first node only, which joins groups of near copies; then tiles that
-still hold several components compare their nodes across components, in chunks that bound a task.
+First each node is checked against its tile's first node, then against the one that shares most with others, which
+joins groups of near copies; then tiles that still hold several components compare their nodes across components, in chunks that bound a task.
 
 Defined cases: a text with fewer words than a shingle is one element, its whole sequence; without words or text a
 document has an empty set and is linked with nothing; equal ids are one document for the links, with a result row
@@ -333,6 +333,18 @@ def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent:
     return cells.select(*columns).mapInArrow(read, "a binary, b binary").distinct()
 
 
+def _second_stars(shared: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each open tile's nodes with the node that shares most of its prefix with others, where the
+    components differ: in a group of edited copies that is the text they come from."""
+    shares = shared.groupBy("node").agg(F.count("*").alias("_shares"), F.first("n").alias("_n"))
+    typical = shares.select("node", (F.col("_shares") / F.col("_n")).alias("_typical"))
+    rows = shared.select("shingle", "node", "n").distinct().join(component, "node").join(typical, "node")
+    hubs = rows.groupBy("shingle").agg(F.max_by(F.struct("node", "n", "component"), F.struct("_typical", "node")).alias("_hub"))
+    met = rows.join(hubs, "shingle").filter(F.col("component") != F.col("_hub.component"))
+    met = met.filter(F.least("n", "_hub.n") * 100 >= F.greatest("n", "_hub.n") * percent)
+    return met.select(F.col("node").alias("a"), F.col("_hub.node").alias("b")).distinct()
+
+
 def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n of every document; doc_id and root of those that are linked)."""
     read = materialize(document_sets(docs, words), "join-sets")
@@ -350,8 +362,15 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     copies = found.filter("doc_id is not null and n > 0").join(ids.withColumnRenamed("doc_id", "b"), "node").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     stars = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = materialize(_links(docs, stars, nodes, words, percent), "join-stars")
-    roots = connected(stars)
-    component = nodes.join(roots, nodes["doc_id"] == roots["id"], "left").select("node", F.coalesce("root", "doc_id").alias("component"))
+
+    def components(links: DataFrame) -> DataFrame:
+        roots = connected(links)
+        found = nodes.join(roots, nodes["doc_id"] == roots["id"], "left").select("node", F.coalesce("root", "doc_id").alias("component"))
+        return materialize(found, "join-components")
+
+    second = _links(docs, _second_stars(shared, components(stars), percent), nodes, words, percent)
+    stars = stars.union(materialize(second, "join-stars"))
+    component = components(stars)
     across = _links(docs, _across(shared, nodes, component, percent), nodes, words, percent)
     return found, connected(stars.union(across).union(copies))
 
