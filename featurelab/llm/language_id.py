@@ -66,9 +66,11 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def training_rows(docs: DataFrame, per_language: int = 1200) -> DataFrame:
     """Labelled rows (lang, features): at most ``per_language`` of each, by hash of the id."""
     some = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = some.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = dict(some.groupBy("lang").count().collect())  # a row per language, of which the model holds pairs
     h = F.xxhash64(F.lit(3), "doc_id")
-    near = some.join(counts, "lang").filter(F.pmod(h, F.lit(1 << 20)) * F.col("n") < F.lit(2 * per_language << 20))
+    below = [F.lit(x) for lang, n in counts.items() for x in (lang, -(-(2 * per_language << 20) // n))]
+    # drawn in the scan: texts that don't teach are never shuffled
+    near = some.filter(F.pmod(h, F.lit(1 << 20)) < F.element_at(F.create_map(*below), F.col("lang"))) if counts else some.limit(0)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text")))
     near = near.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("lang", "text")
 
