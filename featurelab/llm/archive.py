@@ -22,28 +22,28 @@ from .common import shared_dir
 _CRLF = "\r\n"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 160 bits are 8 groups of 20 bits, each 5 hex or 4 base32 digits."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 160 bits are 8 groups of 20 bits, each 5 hex or 4 base32 digits."""
     groups = [F.lpad(F.conv(F.substring(digest, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Archive ``pages`` (page_id, url, html) under ``path``: ``headers`` (sha256, sha1, header bytes) and
-    ``payloads`` (sha256, payload bytes), one row per distinct payload.
+    """Archive ``pages`` (page_id, url, html) under ``path``: ``payloads`` (SHA-256 as bytes, payload bytes, the
+    smallest page_id that has them), one row per distinct payload, and ``headers`` (SHA-256, header bytes), one
+    per page.
 
-    Responses are found by a partial aggregate per digest, so thousands of copies of a page meet as one row per
-    task; payload bytes are shuffled once for each digest and task, headers never carry them."""
+    A partial aggregate per digest stores payloads and finds responses, so thousands of copies of a page meet as
+    one row per task; payload bytes are shuffled once for each digest and task, headers never carry them."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    base = pages.select("page_id", "url", payload.alias("payload"))
-    known = base.select("page_id", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"))
-    known.write.parquet(f"{path}/digests")
-    known = spark.read.schema(known.schema).parquet(f"{path}/digests")
+    base = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
+    stored = base.groupBy("sha256").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_id"))
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    firsts = spark.read.schema(stored.schema).parquet(f"{path}/payloads").select("sha256", "first_id")
+    known = base.select("page_id", "url", F.octet_length("payload").cast("long").alias("bytes"), "sha256", F.unhex(F.sha1("payload")).alias("sha1"))
     # rows with equal ids too: the first of them is the response
     small = F.when(F.col("bytes") < least_bytes, F.col("page_id"))
-    firsts = known.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
     rows = known.join(firsts, "sha256")
     original = (F.col("page_id") == F.col("first_id")) | small.isNotNull() | F.col("first_id").isNull()
     uri = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -55,16 +55,14 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.lit(f"WARC-Date: {date}"),
         F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.hex("sha1"))),
         F.when(~original, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(">"))),
         F.when(~original, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
     ]
     http = F.concat_ws(_CRLF, F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.col("bytes")), F.lit(_CRLF))
     length = F.octet_length(http) + F.when(original, F.col("bytes")).otherwise(F.lit(0))
     header = F.concat(F.concat_ws(_CRLF, *lines, F.concat(F.lit("Content-Length: "), length), F.lit(_CRLF)), http)
-    rows.select("page_id", "sha256", original.alias("holds_payload"), header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
-    stored = base.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"])
-    stored.write.parquet(f"{path}/payloads")
+    rows.select("page_id", "sha256", original.alias("holds_payload"), header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark, path: str) -> DataFrame:
@@ -72,9 +70,8 @@ def read_archive(spark, path: str) -> DataFrame:
     A payload that doesn't have its digest raises an error. ``record`` is the record as WARC has it: a revisit
     ends after its HTTP header."""
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").withColumn(
-        "payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256"))))
-    )
+    verified = F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.hex("sha256"))))
+    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", verified.alias("payload"))
     end = F.lit(_CRLF * 2).cast("binary")
     return headers.join(payloads, "sha256").select("page_id", "header", "payload", F.when(F.col("holds_payload"), F.concat("header", "payload", end)).otherwise(F.concat("header", end)).alias("record"))
 
