@@ -31,11 +31,11 @@ def with_roles(records: DataFrame, forced_id: str | None = None) -> DataFrame:
     best = top(records, 5, BY_ACCURACY)
     rank = F.row_number().over(Window.orderBy(*_order(BY_ACCURACY)))
     chosen = best.select("candidate_id", F.concat(F.lit("top_5_low_data_accuracy_rank_"), rank.cast("string")).alias("role"), rank.alias("ord"))
-    for at, (role, keys) in enumerate((("smallest", ["feature_dim", "-accuracy_500", "runtime_ms", "candidate_id"]), ("fastest", ["runtime_ms", "-accuracy_500", "feature_dim", "candidate_id"])), 6):
+    for at, (role, keys) in enumerate((("smallest_representation", ["feature_dim", "-accuracy_500", "runtime_ms", "candidate_id"]), ("fastest_representation", ["runtime_ms", "-accuracy_500", "feature_dim", "candidate_id"])), 6):
         order = [F.desc(x[1:]) if x[0] == "-" else F.asc(x) for x in keys]
         chosen = chosen.unionByName(rankable(records).orderBy(*order).limit(1).select("candidate_id", F.lit(role).alias("role"), F.lit(at).alias("ord")))
     if forced_id:
-        chosen = chosen.unionByName(records.filter((F.col("candidate_id") == forced_id) & (F.col("record_type") == "candidate")).select("candidate_id", F.lit("stroke_seed").alias("role"), F.lit(8).alias("ord")))
+        chosen = chosen.unionByName(records.filter((F.col("candidate_id") == forced_id) & (F.col("record_type") == "candidate")).select("candidate_id", F.lit("original_stroke_flow_hypothesis").alias("role"), F.lit(8).alias("ord")))
     roles = chosen.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.min("ord").cast("bigint").alias("ord"))
     return roles.join(records.select("candidate_id", "accuracy_500", "feature_dim"), "candidate_id")
 

@@ -265,9 +265,9 @@ def best_candidates(spark, sf_dir):
 _FORCED = hashlib.sha256(b"5").hexdigest()
 _ROLES = f"""{_R}, c AS (
   SELECT candidate_id, 'top_5_low_data_accuracy_rank_' || n AS role, n AS ord FROM (SELECT candidate_id, row_number() OVER (ORDER BY accuracy_500 DESC, accuracy_5000 DESC, feature_dim, runtime_ms, candidate_id) AS n FROM rankable) WHERE n <= 5
-  UNION ALL (SELECT candidate_id, 'smallest', 6 FROM rankable ORDER BY feature_dim, accuracy_500 DESC, runtime_ms, candidate_id LIMIT 1)
-  UNION ALL (SELECT candidate_id, 'fastest', 7 FROM rankable ORDER BY runtime_ms, accuracy_500 DESC, feature_dim, candidate_id LIMIT 1)
-  UNION ALL SELECT candidate_id, 'stroke_seed', 8 FROM records WHERE candidate_id = '{_FORCED}' AND record_type = 'candidate')
+  UNION ALL (SELECT candidate_id, 'smallest_representation', 6 FROM rankable ORDER BY feature_dim, accuracy_500 DESC, runtime_ms, candidate_id LIMIT 1)
+  UNION ALL (SELECT candidate_id, 'fastest_representation', 7 FROM rankable ORDER BY runtime_ms, accuracy_500 DESC, feature_dim, candidate_id LIMIT 1)
+  UNION ALL SELECT candidate_id, 'original_stroke_flow_hypothesis', 8 FROM records WHERE candidate_id = '{_FORCED}' AND record_type = 'candidate')
 SELECT candidate_id, string_agg(role, ',' ORDER BY role) AS roles, CAST(min(ord) AS BIGINT) AS ord, any_value(accuracy_500) AS accuracy_500, any_value(feature_dim) AS feature_dim FROM c JOIN records USING (candidate_id) GROUP BY candidate_id"""
 
 
