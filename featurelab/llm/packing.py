@@ -5,9 +5,10 @@ pieces are counted by length (at most ``capacity`` rows); bin completion over th
 lengths with multiplicities; each piece then finds its slot by its rank among pieces of its length.
 
 Bin completion: the largest length left is completed by fillings that no other filling dominates, fullest first.
-The best of several best-fit packings is the incumbent; if it needs more bins than the waste bound allows, the last
-bins are searched again by branch and bound, pruning a branch when its waste exceeds what the bound leaves.
-``nodes`` bounds that search; when it ends, the incumbent stands, which is always a whole packing.
+The best of several best-fit packings is the incumbent; if it needs more bins than the waste bound allows, the
+``tail`` least filled bins are searched again by branch and bound at any size of input, pruning a branch when its waste
+exceeds what the bound leaves. ``nodes`` bounds that search; when it ends, the incumbent stands, which is always a
+whole packing.
 
 Defined cases: a null or empty text is one piece, the end token alone; repeated rows are packed each; an empty
 table gives an empty result; further columns are ignored by the query.
@@ -202,59 +203,65 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _search(bins: list[tuple[int, tuple[int, ...]]], capacity: int, budget: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """Fewer bins for the lengths of ``bins`` by branch and bound, or ``bins`` themselves. The stack holds a node per
+    bin of the branch; ``budget`` is the number of nodes left."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for times, items in bins:
+        np.add.at(left, list(items), times)
+    size, most, goal = int((left * np.arange(capacity + 1)).sum()), sum(t for t, _ in bins), least_bins(left, capacity)
+
+    def node(left: np.ndarray, waste: int) -> tuple[np.ndarray, int, Iterator[tuple[int, ...]]]:
+        budget[0] -= 1
+        top = int(np.flatnonzero(left)[-1])
+        once = left.copy()
+        once[top] -= 1
+        return left, waste, ((top, *filling) for filling in _completions(once, capacity - top, 6))
+
+    stack, taken = [node(left, 0)] if left.any() else [], []
+    while stack and most > goal and budget[0] > 0:
+        left, waste, options = stack[-1]
+        items = next(options, None)
+        if items is not None:
+            waste += capacity - sum(items)
+        if items is None or waste > (most - 1) * capacity - size:  # more waste than one bin fewer leaves, as all later ones
+            stack.pop()
+            del taken[len(stack) - 1 :]
+            continue
+        once = left.copy()
+        np.subtract.at(once, list(items), 1)
+        if once.any():
+            taken.append((1, items))
+            stack.append(node(once, waste))
+        else:
+            bins, most = [*taken, (1, items)], len(taken) + 1
+    return bins
+
+
+def _tail(bins: list[tuple[int, tuple[int, ...]]], tail: int) -> tuple[list, list]:
+    """``bins`` in two parts, the second with the ``tail`` least filled bins, of equally filled ones those of most parts."""
+    head, last = [], []
+    for times, items in sorted(bins, key=lambda b: (sum(b[1]), -len(b[1]))):
+        moved = min(times, tail)
+        tail -= moved
+        last += [(moved, items)] * (moved > 0)
+        head += [(times - moved, items)] * (times > moved)
+    return head, last
+
+
 def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = 4000, tail: int = 150) -> list[tuple[int, tuple[int, ...]]]:
     """Bins (times, lengths) for ``counts[length]`` pieces of each length."""
     least = least_bins(counts, capacity)
     bins = _incumbent(counts, capacity, least)
-    if sum(t for t, _ in bins) <= least:
-        return bins
-    # branch and bound over the fullest-last bins: those of the end hold the waste
-    head, last = [], []
-    for times, items in sorted(bins, key=lambda b: sum(b[1]), reverse=True):
-        (last if sum(items) < capacity else head).append((times, items))
-    spare = sum(t for t, _ in last)
-    while head and spare < tail:
-        times, items = head.pop()
-        moved = min(times, tail - spare)
-        last.append((moved, items))
-        spare += moved
-        if moved < times:
-            head.append((times - moved, items))
-    rest = np.zeros_like(counts)
-    for times, items in last:
-        for x in items:
-            rest[x] += times
-    size = int((rest * np.arange(len(rest))).sum())
-    best: list = [spare, last]
-    budget, goal = [nodes], least_bins(rest, capacity)
-
-    def search(left: np.ndarray, used: int, waste: int, taken: list) -> None:
-        have = np.flatnonzero(left)
-        if not len(have):
-            if used < best[0]:
-                best[:] = [used, list(taken)]
-            return
-        if budget[0] <= 0:
-            return
-        budget[0] -= 1
-        top = int(have[-1])
-        left[top] -= 1
-        for filling in _completions(left, capacity - top, 6):
-            items = (top, *filling)
-            lost = capacity - sum(items)
-            if waste + lost > (best[0] - 1) * capacity - size:  # more waste than one bin fewer leaves
-                continue
-            once = left.copy()
-            for x in filling:
-                once[x] -= 1
-            search(once, used + 1, waste + lost, [*taken, (1, items)])
-            if best[0] <= goal or budget[0] <= 0:
-                break
-        left[top] += 1
-
-    if spare <= 400:  # the depth of the recursion; a longer tail keeps its incumbent
-        search(rest, 0, 0, [])
-    return head + best[1]
+    budget = [nodes]
+    # branch and bound over the least filled bins; where it saves some, others are the least filled ones next
+    while sum(t for t, _ in bins) > least and budget[0] > 0:
+        head, last = _tail(bins, tail)
+        found = _search(last, capacity, budget)
+        if found is last:
+            break
+        bins = head + found
+    return bins
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -280,6 +280,16 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert sum(t for t, _ in bins) == optimum(lengths, 100)
 
 
+@pytest.mark.parametrize("seed", [272, 450, 462])
+def test_a_long_row_of_bins_that_are_not_full_is_searched_too(seed, monkeypatch):
+    monkeypatch.setattr(packing, "_incumbent", lambda counts, capacity, least: packing._best_fit(counts, capacity))
+    lengths = np.random.default_rng(seed).integers(12, 50, size=14).tolist()
+    counts = np.bincount([*lengths, *[97] * 500], minlength=101)  # nothing fits beside 97
+    best = optimum(lengths, 100) + 500
+    assert sum(t for t, _ in packing._best_fit(counts, 100)) > best
+    assert sum(t for t, _ in packing.pack_lengths(counts, 100)) == best
+
+
 # ---------------------------------------------------------------- mixing
 
 
