@@ -4,10 +4,10 @@ Documents become token ids and pieces of at most ``capacity`` tokens. Only lengt
 pieces are counted by length (at most ``capacity`` rows); bin completion over those counts gives patterns of
 lengths with multiplicities; each piece then finds its slot by its rank among pieces of its length.
 
-Bin completion: the largest length left is completed by fillings that no other filling dominates, fullest first.
+Bin completion: the largest length left is completed by all fillings that no other filling dominates, fullest first.
 The best of several best-fit packings is the incumbent; if it needs more bins than the waste bound allows, the
 ``tail`` least filled bins are searched again by branch and bound at any size of input, pruning a branch when its waste
-exceeds what the bound leaves. ``nodes`` bounds that search; when it ends, the incumbent stands, which is always a
+exceeds what the bound leaves; then mixtures of least filled and full bins are. ``nodes`` bounds that search; when it ends, the incumbent stands, which is always a
 whole packing.
 
 Defined cases: a null or empty text is one piece, the end token alone; repeated rows are packed each; an empty
@@ -20,6 +20,7 @@ import base64
 import os
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,9 +106,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, ranks: s
 
 
 def _completions(counts: np.ndarray, room: int, most: int = 24, per_part: float = 0) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the lengths that are left, fullest first (each part counting as
-    ``per_part`` tokens of waste, which saves small lengths for later), at most ``most``. A filling is dominated if one of its parts could be exchanged for fewer, larger lengths of the same sum or more: of one,
-    two and three lengths only the fullest for each first length are listed."""
+    """Good fillings of ``room`` from the lengths that are left, for packings to begin with: fullest first (each part
+    counting as ``per_part`` tokens of waste, which saves small lengths for later), at most ``most``. Not all: for
+    each first length the fullest pair, with more lengths while some fit. The search has ``_fillings``."""
     found: dict[tuple[int, ...], int] = {(): 0}
     have = np.flatnonzero(counts[: room + 1])
     if not len(have):
@@ -138,18 +139,91 @@ def _completions(counts: np.ndarray, room: int, most: int = 24, per_part: float
     return ranked[:most]
 
 
+def _up_to(sums: int, more: int) -> int:
+    """The sizes (bits) that are up to ``more`` larger than those of ``sums``."""
+    width = 1
+    while width <= more:
+        step = min(width, more + 1 - width)
+        sums |= sums << step
+        width += step
+    return sums
+
+
+def _fillings(counts: np.ndarray, room: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` from the lengths that are left, of any number of parts, fullest first and
+    then those of larger parts first. A filling is dominated if two or more of its parts could be exchanged for one
+    length left out of the same sum or more, or one part (or none) for a larger one. Sets of sizes are bits of a
+    number: ``sums[i]`` are the sums that the smallest i lengths make, so that no branch ends without a filling.
+    Only ``budget``, from which every part tried takes one, cuts the list."""
+    have, sums = np.flatnonzero(counts[: room + 1]).tolist(), [1]
+    for x in have:
+        reached, left, step = sums[-1], min(int(counts[x]), room // x), 1
+        while left:
+            step = min(step, left)
+            reached |= reached << (x * step)
+            left, step = left - step, 2 * step
+        sums.append(reached & ((1 << (room + 1)) - 1))
+
+    def parts(i: int, need: int, slack: int, taken: tuple[int, ...], one: int, more: int, out: int) -> Iterator[tuple[int, ...]]:
+        """``one`` and ``more``: sums of one and of several parts of ``taken``; ``out``: lengths left out so far."""
+        if not need:
+            out |= sum(1 << x for x in have[:i])
+            if not (_up_to(more, slack) | (_up_to(one | 1, slack - 1) << 1 if slack else 0)) & out:
+                yield taken
+            return
+        for at in range(i, 0, -1):
+            x = have[at - 1]
+            if not sums[at] >> need & 1:
+                return
+            with_x, most = [(taken, one, more)], min(int(counts[x]), need // x)
+            for _ in range(most):
+                t, a, b = with_x[-1]
+                with_x.append(((*t, x), a | 1 << x, b | b << x | a << x))
+            for k in range(most, 0, -1):
+                if budget[0] <= 0:
+                    return
+                if sums[at - 1] >> (need - k * x) & 1:
+                    budget[0] -= 1
+                    t, a, b = with_x[k]
+                    left_out = out | (1 << x if k < counts[x] else 0)
+                    if not _up_to(b, slack) & left_out:
+                        yield from parts(at - 1, need - k * x, slack, t, a, b, left_out)
+            out |= 1 << x
+
+    for target in range(room, -1, -1):
+        if sums[-1] >> target & 1:
+            yield from parts(len(have), target, room - target, (), 0, 0, 0)
+
+
+def _even_filling(counts: np.ndarray, room: int) -> tuple[int, ...]:
+    """A filling without waste of the fewest parts (up to three), as equal as can be, which keeps small lengths for
+    later; where there is none, the first of all fillings."""
+    if room and counts[room]:
+        return (room,)
+    for least in (0, *range(room // 3, 0, -1)):  # the smallest of three parts, 0 for two parts
+        if least and not counts[least]:
+            continue
+        small = np.arange((room - least) // 2, max(least, 1) - 1, -1)
+        large = room - least - small
+        fits = (counts[small] > (small == least)) & (counts[large] > (large == least).astype(int) + (large == small))
+        if len(found := np.flatnonzero(fits)):
+            return tuple(sorted((int(large[found[0]]), int(small[found[0]]), *([least] if least else [])), reverse=True))
+    return next(_fillings(counts, room, [1 << 30]))  # the first filling is reached without a wrong turn
+
+
 def _fits(counts: np.ndarray, items: tuple[int, ...]) -> int:
     lengths, uses = np.unique(np.array(items), return_counts=True)
     return int((counts[lengths] // uses).min())
 
 
-def _completed(counts: np.ndarray, capacity: int, per_part: float) -> list[tuple[int, tuple[int, ...]]]:
-    """Every largest length completed by its best filling, as often as the counts allow."""
+def _completed(counts: np.ndarray, capacity: int, per_part: float | None) -> list[tuple[int, tuple[int, ...]]]:
+    """Every largest length completed by its best filling (the even one without ``per_part``), as often as the counts
+    allow."""
     counts, bins = counts.copy(), []
     while len(have := np.flatnonzero(counts)):
         top = int(have[-1])
         counts[top] -= 1
-        filling = _completions(counts, capacity - top, 8, per_part)[0]
+        filling = _even_filling(counts, capacity - top) if per_part is None else _completions(counts, capacity - top, 8, per_part)[0]
         counts[top] += 1
         items = (top, *filling)
         times = _fits(counts, items)
@@ -178,12 +252,12 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, .
 
 
 def _incumbent(counts: np.ndarray, capacity: int, least: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The best of best-fit decreasing and of completions that save small lengths less and less."""
+    """The best of best-fit decreasing, of even completions and of those that save small lengths less and less."""
     best = _best_fit(counts, capacity)
-    for per_part in (256, 128, 64, 32, 16, 8, 4, 2, 0):
+    for per_part in (None, 256, 128, 64, 32, 16, 8, 4, 2, 0):
         if sum(t for t, _ in best) <= least:
             break
-        best = min(best, _completed(counts, capacity, per_part * capacity / 1024), key=lambda b: sum(t for t, _ in b))
+        best = min(best, _completed(counts, capacity, per_part and per_part * capacity / 1024), key=lambda b: sum(t for t, _ in b))
     return best
 
 
@@ -205,7 +279,8 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
 
 def _search(bins: list[tuple[int, tuple[int, ...]]], capacity: int, budget: list[int]) -> list[tuple[int, tuple[int, ...]]]:
     """Fewer bins for the lengths of ``bins`` by branch and bound, or ``bins`` themselves. The stack holds a node per
-    bin of the branch; ``budget`` is the number of nodes left."""
+    bin of the branch; ``budget`` is the number of nodes left, each of which stands for 25 parts tried."""
+    tries = [25 * budget[0]]
     left = np.zeros(capacity + 1, dtype=np.int64)
     for times, items in bins:
         np.add.at(left, list(items), times)
@@ -216,12 +291,14 @@ def _search(bins: list[tuple[int, tuple[int, ...]]], capacity: int, budget: list
         top = int(np.flatnonzero(left)[-1])
         once = left.copy()
         once[top] -= 1
-        return left, waste, ((top, *filling) for filling in _completions(once, capacity - top, 6))
+        return left, waste, ((top, *filling) for filling in _fillings(once, capacity - top, tries))
 
     stack, taken = [node(left, 0)] if left.any() else [], []
     while stack and most > goal and budget[0] > 0:
         left, waste, options = stack[-1]
         items = next(options, None)
+        if tries[0] <= 0:  # the list may have been cut
+            break
         if items is not None:
             waste += capacity - sum(items)
         if items is None or waste > (most - 1) * capacity - size:  # more waste than one bin fewer leaves, as all later ones
@@ -238,29 +315,51 @@ def _search(bins: list[tuple[int, tuple[int, ...]]], capacity: int, budget: list
     return bins
 
 
-def _tail(bins: list[tuple[int, tuple[int, ...]]], tail: int) -> tuple[list, list]:
-    """``bins`` in two parts, the second with the ``tail`` least filled bins, of equally filled ones those of most parts."""
-    head, last = [], []
+def _tail(bins: list[tuple[int, tuple[int, ...]]], tail: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The ``tail`` least filled bins, of equally filled ones those of most parts."""
+    last = []
     for times, items in sorted(bins, key=lambda b: (sum(b[1]), -len(b[1]))):
-        moved = min(times, tail)
-        tail -= moved
-        last += [(moved, items)] * (moved > 0)
-        head += [(times - moved, items)] * (times > moved)
-    return head, last
+        last.append((min(times, tail), items))
+        tail -= last[-1][0]
+        if not tail:
+            break
+    return last
+
+
+def _mixed(bins: list[tuple[int, tuple[int, ...]]], capacity: int, tail: int, rng: np.random.Generator) -> list[tuple[int, tuple[int, ...]]]:
+    """The least filled bins and as many full ones drawn from those of three and more parts, whose small lengths can
+    fill the others."""
+    last = _tail([b for b in bins if sum(b[1]) < capacity], tail // 2)
+    full = [b for b in bins if sum(b[1]) == capacity and len(b[1]) > 2]
+    if full:
+        times = np.array([t for t, _ in full])
+        drawn = rng.multivariate_hypergeometric(times, min(tail - tail // 2, int(times.sum())), method="marginals")
+        last += [(int(t), items) for t, (_, items) in zip(drawn, full) if t]
+    return last
 
 
 def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = 4000, tail: int = 150) -> list[tuple[int, tuple[int, ...]]]:
     """Bins (times, lengths) for ``counts[length]`` pieces of each length."""
     least = least_bins(counts, capacity)
     bins = _incumbent(counts, capacity, least)
-    budget = [nodes]
-    # branch and bound over the least filled bins; where it saves some, others are the least filled ones next
-    while sum(t for t, _ in bins) > least and budget[0] > 0:
-        head, last = _tail(bins, tail)
+    left, rng, mixed = nodes, np.random.default_rng(0), False
+    # branch and bound over the least filled bins, while it saves some; then over mixtures with full bins
+    while (total := sum(t for t, _ in bins)) > least and left > 0:
+        last = _mixed(bins, capacity, tail, rng) if mixed else _tail(bins, tail)
+        budget = [left if total <= tail else min(left, nodes // 16) if mixed else max(1, left // 2)]
+        left -= budget[0]
         found = _search(last, capacity, budget)
-        if found is last:
+        left += max(0, budget[0]) - 1
+        if found is not last:
+            times = Counter()
+            for sign, some in ((1, bins), (-1, last), (1, found)):
+                for t, items in some:
+                    times[items] += sign * t
+            bins = [(t, items) for items, t in times.items() if t]
+        elif total <= tail:
             break
-        bins = head + found
+        else:
+            mixed = True
     return bins
 
 

@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -290,6 +291,33 @@ def test_a_long_row_of_bins_that_are_not_full_is_searched_too(seed, monkeypatch)
     assert sum(t for t, _ in packing.pack_lengths(counts, 100)) == best
 
 
+def test_fillings_of_three_parts_are_listed():
+    counts = np.bincount([50, 40, 34, 33, 33], minlength=101)
+    found = list(packing._fillings(counts, 100, [10_000]))
+    assert found[0] == (34, 33, 33)
+    assert (50, 40) in found and (50, 34) not in found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fillings_are_the_undominated_ones(seed):
+    lengths = np.random.default_rng(seed).integers(3, 30, size=9).tolist()
+    counts, room = np.bincount(lengths, minlength=61), 60
+    fillings = {tuple(sorted(c, reverse=True)) for n in range(10) for c in combinations(lengths, n) if sum(c) <= room}
+
+    def dominated(f):
+        out = list((Counter(lengths) - Counter(f)).elements())
+        subsets = [c for n in range(len(f) + 1) for c in combinations(f, n)]
+        return any(sum(c) <= x <= sum(c) + room - sum(f) and (len(c) > 1 or x > sum(c)) for c in subsets for x in out)
+
+    assert sorted(packing._fillings(counts, room, [1_000_000])) == sorted(f for f in fillings if not dominated(f))
+
+
+@pytest.mark.parametrize("seed", [72, 187, 221, 346, 383, 873])
+def test_search_finds_packings_of_three_and_more_parts(seed):
+    lengths = np.random.default_rng(seed).integers(12, 50, size=14).tolist()
+    assert sum(t for t, _ in packing.pack_lengths(np.bincount(lengths, minlength=101), 100)) == optimum(lengths, 100)
+
+
 # ---------------------------------------------------------------- mixing
 
 
