@@ -89,6 +89,7 @@ class RepresentationSpec:
 
 _COLUMNS: dict[str, tuple[int, Callable[[Column], Column]]] = {"raw_pixels": (784, pixels.raw_pixels), "spatial": (3, pixels.spatial), "symmetry": (2, pixels.symmetry)}
 _CONTROLS = {"downsampled": (196, pixels.downsampled)}
+_CONTROL_HOG = ("hog", 1296)
 _HISTOGRAMS = {"stroke_direction": (8, shape.stroke_direction), "direction_transition": (64, shape.direction_transition), "curvature": (8, shape.curvature)}
 
 
@@ -105,14 +106,15 @@ class FeaturePipeline:
         self.feature_dim = 0
         for o in self._operators:
             allowed = {"threshold"} if o.name == "topology" else set()
-            if o.name not in known and o.name not in _HISTOGRAMS and o.name != "topology":
+            hog = controls and o.name == _CONTROL_HOG[0]
+            if o.name not in known and o.name not in _HISTOGRAMS and o.name != "topology" and not hog:
                 raise CompilationError(f"unknown operator {o.name!r}")
             if set(o.params) - allowed:
                 raise CompilationError(f"{o.name} doesn't take {sorted(set(o.params) - allowed)}")
             t = o.params.get("threshold", 0.5)
             if isinstance(t, bool) or not isinstance(t, (int, float)) or not 0 < t < 1:
                 raise CompilationError("threshold must be between 0 and 1")
-            self.feature_dim += 4 if o.name == "topology" else (known | _HISTOGRAMS)[o.name][0]
+            self.feature_dim += 4 if o.name == "topology" else _CONTROL_HOG[1] if hog else (known | _HISTOGRAMS)[o.name][0]
         self._known = known
 
     def transform(self, images: DataFrame) -> DataFrame:
@@ -123,6 +125,11 @@ class FeaturePipeline:
             if o.name in self._known:
                 parts.append(self._known[o.name][1](F.col("pixels")))
                 continue
+            if o.name == _CONTROL_HOG[0]:
+                new = shape.hog(df).select(F.col("image_id").alias("_id"), F.col("features").alias(f"_f{at}"))
+                df = df.join(new, F.col("image_id") == F.col("_id")).drop("_id")
+                parts.append(F.col(f"_f{at}"))
+                continue
             t = float(o.params.get("threshold", 0.5))
             found = passes.setdefault(t, shape.shapes(df, t))
             if o.name == "topology":

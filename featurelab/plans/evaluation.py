@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log1p
+from time import perf_counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +13,51 @@ from featurelab.operators import learning, sampling
 from featurelab.plans.compiler import FeaturePipeline, OperatorSpec
 
 
+RESULT = (
+    "representation string, train_size int, feature_dim int, accuracy double, confusion_matrix array<array<bigint>>, train_feature_runtime_ms double, "
+    "validation_feature_runtime_ms double, training_time_ms double, inference_time_ms double, runtime_ms double, ranking_score double"
+)
+
+
+def _timed(df: DataFrame) -> tuple[DataFrame, float]:
+    """``df`` held in memory and the milliseconds that took."""
+    began = perf_counter()
+    df = df.persist()
+    df.count()
+    return df, (perf_counter() - began) * 1000
+
+
 class Evaluator:
-    """Holds images with labels; the split depends on the seed alone, features are extracted once per spec."""
+    """Holds images with labels; the split depends on the seed alone. Features are extracted of the rows that are
+    needed only, those of the validation rows once per spec."""
 
     def __init__(self, images: DataFrame, validation: int = 2000, sizes: Sequence[int] = (500, 5000), seed: int = 42):
         self._images, self._validation, self._sizes, self._seed = images, validation, tuple(sizes), seed
 
     def evaluate(self, operators: Sequence[OperatorSpec], controls: bool = False) -> DataFrame:
-        """A row per size: representation, train_size, feature_dim, accuracy."""
+        """A row per size with its accuracy, its confusion matrix (actual, then predicted) and its times.
+        ``runtime_ms`` and ``ranking_score`` are those of the whole evaluation, the same on every row: features,
+        fits and predictions of all sizes; the score of the first and the last size's accuracy."""
         pipeline = FeaturePipeline(operators, controls)  # fails before any data is read
         split = sampling.stratified_sample(self._images.select("image_id", "label"), self._validation, self._seed)
         train, held = split.filter(~F.col("chosen")).select("image_id", "label"), split.filter("chosen").select("image_id")
-        features = pipeline.transform(self._images).select("image_id", "label", "features").persist()
-        out, name = None, "+".join(o.name for o in operators)
+        features = lambda ids: pipeline.transform(self._images.join(ids, "image_id")).select("image_id", "label", "features")
+        validation, validation_ms = _timed(features(held))
+        rows, name = [], "+".join(o.name for o in operators)
         for size in self._sizes:
             chosen = sampling.stratified_sample(train, size, self._seed).filter("chosen").select("image_id")
-            model = learning.Learner().fit(features.join(chosen, "image_id"))
-            scored = learning.accuracy(model.predict(features.join(held, "image_id")))
-            row = scored.select(F.lit(name).alias("representation"), F.lit(size).alias("train_size"), F.lit(pipeline.feature_dim).alias("feature_dim"), "accuracy")
-            out = row if out is None else out.unionByName(row)
-        return out
+            fitted, train_ms = _timed(features(chosen))
+            began = perf_counter()
+            model = learning.Learner().fit(fitted)
+            fit_ms = (perf_counter() - began) * 1000
+            predictions, predict_ms = _timed(model.predict(validation))
+            cells = learning.confusion(predictions).orderBy("actual", "predicted").collect()  # classes x classes
+            classes = cells[-1].actual + 1
+            matrix = [[c.n for c in cells[k * classes : (k + 1) * classes]] for k in range(classes)]
+            rows.append((name, size, pipeline.feature_dim, learning.accuracy(predictions).first()[0], matrix, train_ms, validation_ms, fit_ms, predict_ms))
+            predictions.unpersist()
+            fitted.unpersist()
+        validation.unpersist()
+        runtime = validation_ms + sum(r[5] + r[7] + r[8] for r in rows)
+        score = 0.6 * rows[0][3] + 0.4 * rows[-1][3] - 0.001 * log1p(pipeline.feature_dim) - 0.0001 * log1p(runtime)
+        return self._images.sparkSession.createDataFrame([(*r, runtime, score) for r in rows], RESULT)

@@ -188,7 +188,8 @@ def baseline_sweep(spark, sf_dir):
     from featurelab.plans.compiler import OperatorSpec
 
     e = Evaluator(glyphs.images(spark, sf_dir), validation=100, sizes=(100, 300))
-    return e.evaluate([OperatorSpec("downsampled")], controls=True).unionByName(e.evaluate([OperatorSpec("topology")]))
+    raw, downsampled, hog = (e.evaluate([OperatorSpec(k)], controls=True) for k in ("raw_pixels", "downsampled", "hog"))
+    return raw.unionByName(downsampled).unionByName(hog)
 
 
 _P1 = rec.predictions_sql("p", 1)

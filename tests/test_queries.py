@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and operators' guards."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -70,3 +72,17 @@ def test_archive_rules(spark):
     for bad in (0, True, 1.5):
         with pytest.raises(ValueError):
             archive.top(df, bad)
+
+
+def test_baselines_have_all_measures(spark):
+    rows = registry.queries()["baseline_sweep"](spark, SMALL).collect()
+    assert [(r.representation, r.train_size, r.feature_dim) for r in rows] == [(k, n, d) for k, d in (("raw_pixels", 784), ("downsampled", 196), ("hog", 1296)) for n in (100, 300)]
+    for r in rows:
+        cells = r.confusion_matrix
+        assert len(cells) == 10 and {len(c) for c in cells} == {10} and sum(map(sum, cells)) == 100
+        assert abs(sum(cells[k][k] for k in range(10)) / 100 - r.accuracy) < 1e-12
+        assert min(r.train_feature_runtime_ms, r.validation_feature_runtime_ms, r.training_time_ms, r.inference_time_ms) > 0
+    for a, b in zip(rows[::2], rows[1::2]):
+        runtime = a.validation_feature_runtime_ms + sum(r.train_feature_runtime_ms + r.training_time_ms + r.inference_time_ms for r in (a, b))
+        score = 0.6 * a.accuracy + 0.4 * b.accuracy - 0.001 * math.log1p(a.feature_dim) - 0.0001 * math.log1p(runtime)
+        assert all(abs(r.runtime_ms - runtime) < 1e-6 and abs(r.ranking_score - score) < 1e-9 for r in (a, b))
