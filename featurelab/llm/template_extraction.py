@@ -2,11 +2,14 @@
 
 A page is a sequence of tokens: its tags and its text blocks, each with the path of tags it stands under. Tokens
 of a host that occur equally often on each of its pages share an occurrence vector; those vectors are compared by
-fingerprints that partial aggregates build, so that no host's pages meet in one task. A class of tokens that share
-a vector and that pages with enough different contents have is valid, and the valid classes nest into the host's
-template: what stands between template tokens are slots. Template blocks and the slots inside menus, headers,
-footers, sidebars, notices, adverts, forms and comments go; the slots that are left are the main text, inside the
-article or main element where the page has one.
+fingerprints that partial aggregates build, so that no host's pages meet in one task. Tokens are counted over a host
+and over each of its layouts, the pages whose upper elements are the same. A class of tokens that share a vector and
+that enough different contents, and half of the host's or the layout's, have is valid. Text blocks of valid classes
+go, and all blocks inside menus, headers, footers, sidebars, notices, adverts, forms and comments; the blocks that are
+left are the main text, inside the article or main element where the page has one.
+
+Classes aren't nested by position and pages aren't cut into slots: the result is the frequency of blocks in a host or
+layout and the names of elements.
 
 Defined cases: a null or empty html gives an empty text; pages without a host share the host ""; repeated rows
 give a row each; hosts with few pages have no valid text classes, there the elements alone decide; an empty table
@@ -43,6 +46,8 @@ _MARKED = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Levels of elements that make a layout: html, what is in it, in body and in its parts.
+_UPPER = 4
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -108,13 +113,18 @@ def _hash(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
+def _layout(tokens: list[tuple[str, str, bool, int]]) -> int:
+    """The page's upper elements, whatever they say and however often they stand there."""
+    return _hash("\0".join(sorted({path for path, text, _, _ in tokens if not text and path.count("/") <= _UPPER})), "")
+
+
 def _host(url: str | None) -> str:
     found = _HOST.match(url or "")
     return found[1].lower() if found else ""
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, page, content, n): how often each token stands on each page. ``content`` stands for
+    """(host, layout, token, is_text, page, content, n): how often each token stands on each page. ``content`` stands for
     what the page says, the blocks that no element marks as other parts: copies have the same."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,41 +132,50 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             rows = []
             for page_id, url, source in zip(*[c.to_pylist() for c in batch.columns]):
                 tokens = page_tokens(source or "")
-                host = _host(url)
+                host, layout = _host(url), _layout(tokens)
                 said = "\n".join(text for _, text, outside, _ in tokens if text and not outside)
                 content, page, seen = _hash("", said), _hash(str(page_id), source or ""), {}
                 for path, text, _, _ in tokens:
                     key = _hash(path, text)
                     seen[key] = (bool(text), seen.get(key, (0, 0))[1] + 1)
-                rows += [(host, key, is_text, page, content, n) for key, (is_text, n) in seen.items()]
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["host", "token", "is_text", "page", "content", "n"])
+                rows += [(host, layout, key, is_text, page, content, n) for key, (is_text, n) in seen.items()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=["host", "layout", "token", "is_text", "page", "content", "n"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(count, "host string, token bigint, is_text boolean, page bigint, content bigint, n bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(count, "host string, layout bigint, token bigint, is_text boolean, page bigint, content bigint, n bigint")
 
 
 def deduce_templates(pages: DataFrame, support: float = 0.5, least_contents: int = 8, least_tokens: int = 2) -> DataFrame:
-    """Template text tokens per host (host, template). A token counts by the different contents it stands with,
-    so that copies of an article don't make it a template. A template has at most 1 / ``support`` times the
-    mean number of tokens of the host's pages."""
+    """Template text tokens per host (host, template); those of a layout are combined with it by exclusive or. A
+    token counts by the different contents it stands with, so that copies of an article don't make it a template. A
+    page has at most 1 / ``support`` times the mean number of tokens of its host's or layout's pages."""
     found = _occurrences(pages)
     # the occurrence vector's fingerprint: an order-free combination of (page, count) hashes, with its sums
-    by_content = found.groupBy("host", "token", "is_text", "content").agg(F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.bit_xor(F.xxhash64("n", "page")).alias("u"), F.count("*").alias("pages"), F.sum("n").alias("n"))
-    tokens = materialize(by_content.groupBy("host", "token", "is_text").agg(F.bit_xor("v").alias("v"), F.bit_xor("u").alias("u"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.count("*").alias("contents")), "template-tokens")
-    # every page has all contents of its host between them: the most frequent token's contents bound them
-    hosts = tokens.groupBy("host").agg(F.max("contents").alias("all_contents"))
-    frequent = tokens.join(hosts, "host").filter((F.col("contents") >= least_contents) & (F.col("contents") >= support * F.col("all_contents")))
-    classes = frequent.groupBy("host", "v", "u", "pages").agg(F.count("*").alias("tokens"))
-    # a class of one token is valid if it nests in a larger one: on as many pages at most, and more than half of them
-    largest = classes.filter(F.col("tokens") >= least_tokens).groupBy("host").agg(F.max("pages").alias("most_pages"))
-    valid = classes.join(largest, "host").filter((F.col("tokens") >= least_tokens) | (F.col("pages") <= F.col("most_pages")))
-    kept = frequent.filter("is_text").join(valid.select("host", "v", "u", "pages"), ["host", "v", "u", "pages"])
-    return kept.groupBy("host").agg(F.collect_set("token").alias("template"))
+    by_content = found.groupBy("host", "token", "is_text", "content").agg(F.min("layout").alias("layout"), F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.bit_xor(F.xxhash64("n", "page")).alias("u"), F.count("*").alias("pages"))
+    sums = [F.bit_xor("v").alias("v"), F.bit_xor("u").alias("u"), F.sum("pages").alias("pages")]
+    per_layout = materialize(by_content.groupBy("host", "layout", "token", "is_text").agg(*sums, F.count("*").alias("contents")), "template-tokens")
+    per_host = per_layout.groupBy("host", "token", "is_text").agg(*sums, F.sum("contents").alias("contents")).withColumn("layout", F.lit(0).cast("bigint"))
+
+    def valid_texts(tokens: DataFrame) -> DataFrame:
+        # every page has all contents of its layout between them: the most frequent token's contents bound them
+        most = tokens.groupBy("host", "layout").agg(F.max("contents").alias("all_contents"))
+        frequent = tokens.join(most, ["host", "layout"]).filter((F.col("contents") >= least_contents) & (F.col("contents") >= support * F.col("all_contents")))
+        classes = frequent.groupBy("host", "layout", "v", "u", "pages").agg(F.count("*").alias("tokens"))
+        # a class of one token is valid if it stands on as many pages as a larger one at most
+        largest = classes.filter(F.col("tokens") >= least_tokens).groupBy("host", "layout").agg(F.max("pages").alias("most_pages"))
+        valid = classes.join(largest, ["host", "layout"]).filter((F.col("tokens") >= least_tokens) | (F.col("pages") <= F.col("most_pages")))
+        kept = frequent.filter("is_text").join(valid.select("host", "layout", "v", "u", "pages"), ["host", "layout", "v", "u", "pages"])
+        return kept.select("host", F.col("token").bitwiseXOR(F.col("layout")).alias("token"))
+
+    return valid_texts(per_host).unionByName(valid_texts(per_layout)).groupBy("host").agg(F.collect_set("token").alias("template"))
 
 
 def _main_text(source: str, template: frozenset) -> str:
-    blocks = [(path, text, outside, article) for path, text, outside, article in page_tokens(source) if text]
-    kept = [b for b in blocks if not b[2] and _hash(b[0], b[1]) not in template]
+    tokens = page_tokens(source)
+    kept = [b for b in tokens if b[1] and not b[2]]
+    if template:
+        layout = _layout(tokens)
+        kept = [b for b in kept if (key := _hash(b[0], b[1])) not in template and key ^ layout not in template]
     inside: dict[int, int] = {}
     for _, text, _, article in kept:
         if article:

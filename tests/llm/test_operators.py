@@ -591,6 +591,14 @@ def test_extraction_leaves_out_other_parts(spark):
     assert {r.text for r in template_extraction.main_texts(copies).collect()} == {"Head & line 1\nFirst bold 1 text.\nSecond 1\nitem 1\nWritten by the staff of this site."}
 
 
+def test_extraction_deduces_a_template_per_layout(spark):
+    layouts = {"story": "Told by the staff.", "offer": "Ask for the price.", "event": "Doors open at eight."}
+    rows = [(10 * k + i, "http://h.example/", f'<html><body><div class="{name}"><p>{name} {i}<p>{line}</div></body></html>') for k, (name, line) in enumerate(layouts.items()) for i in range(10)]
+    rows.append((99, "http://h.example/", '<html><body><section class="other"><p>once<p>Told by the staff.</section></body></html>'))
+    got = {r.page_id: r.text for r in template_extraction.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {10 * k + i: f"{name} {i}" for k, name in enumerate(layouts) for i in range(10)} | {99: "once\nTold by the staff."}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
