@@ -18,7 +18,7 @@ def scale_statistics(rows: DataFrame, column: str = "features") -> DataFrame:
 class Learner:
     """``fit`` on (label, features), ``predict`` adds ``predicted``."""
 
-    def __init__(self, c: float = 1.0, max_iter: int = 100, tol: float = 1e-8):
+    def __init__(self, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-8):
         self._c, self._max_iter, self._tol = c, max_iter, tol
         self._model: LogisticRegressionModel | None = None
 

@@ -86,3 +86,10 @@ def test_baselines_have_all_measures(spark):
         runtime = a.validation_feature_runtime_ms + sum(r.train_feature_runtime_ms + r.training_time_ms + r.inference_time_ms for r in (a, b))
         score = 0.6 * a.accuracy + 0.4 * b.accuracy - 0.001 * math.log1p(a.feature_dim) - 0.0001 * math.log1p(runtime)
         assert all(abs(r.runtime_ms - runtime) < 1e-6 and abs(r.ranking_score - score) < 1e-9 for r in (a, b))
+
+
+def test_learner_goes_on_to_the_optimum(spark):
+    # features of quite different scales after standardising: a row in fifty has the value that tells classes apart
+    rows = spark.range(400).selectExpr("id as image_id", "cast(id % 4 as int) as label", "transform(sequence(0, 59), k -> cast(pmod(xxhash64(id, k), 1000) as double) / 1000 + if(k = 0, 1, 0) * (id % 4) + if(k > 0 and pmod(xxhash64(id), 50) = k, 40 * (id % 4), 0)) as features")
+    model = learning.Learner(c=1e6).fit(rows)._model
+    assert 100 < model.summary.totalIterations < 1000
