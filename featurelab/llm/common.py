@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: One word: a run of characters other than ASCII white space.
@@ -34,6 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize` with aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return written, seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

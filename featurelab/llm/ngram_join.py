@@ -6,8 +6,12 @@ sets that are similar enough share one there) and a band of set sizes. In a tile
 that hash to it, so differing bits never outnumber differing elements) bound overlaps from above; what passes is
 checked by intersecting the sorted arrays.
 
-First each node is checked against its tile's first node, then against the one that shares most with others, which
-joins groups of near copies; then tiles that still hold several components compare their nodes across components, in chunks that bound a task.
+First each node is checked against its tile's first node and against the one that shares most with others, which
+joins groups of near copies; then tiles that still hold several components compare their nodes across components, in
+chunks that bound a task. In such a tile the nodes of its largest component meet the others only, not each other.
+
+A shingle that very many nodes have is dealt over salts, by counts that the first pass over the texts gives; each salt
+is a tile of its own, their first nodes are checked in a chain, and comparison across components covers all salts.
 
 Defined cases: a text with fewer words than a shingle is one element, its whole sequence; without words or text a
 document has an empty set and is linked with nothing; equal ids are one document for the links, with a result row
@@ -21,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingles_of, text_slices, words_of
+from .common import counted, materialize, mix, shingles_of, text_slices, words_of
 
-#: Bits of a signature, of the wide one of sets over WIDE_FROM, nodes of a chunk, most frequent shingles at most.
-BITS, WIDE, WIDE_FROM, CHUNK, HOT = 1024, 16_384, 1500, 256, 1 << 19
+#: Bits of a signature, of that of sets over WIDE_FROM, nodes of a chunk, most frequent shingles at most, rows of a
+#: tile about, rows of one tile read at once at most.
+BITS, WIDE, WIDE_FROM, CHUNK, HOT, TILE_ROWS, AT_ONCE = 1024, 16_384, 1500, 256, 1 << 19, 20_000, 50_000
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -44,7 +50,7 @@ def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, node, n, signature, wide), and (shingle, times) of those found twice or more
+    """Rows of two kinds: a document's (doc_id, node, n, signature), and (shingle, times) of those found twice or more
     among the sets of a few thousand documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +63,12 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             held.clear()
             return s[n >= 2], n[n >= 2]
 
-        def rows(ids, keys, sizes, signatures, wide, s, times) -> pa.RecordBatch:
+        def rows(ids, keys, sizes, signatures, s, times) -> pa.RecordBatch:
             a, b = len(keys), len(s)
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([ids, pa.nulls(b, pa.int64())]), pa.array(keys + [None] * b, pa.binary()), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(b, pa.int64())])]
-                + [pa.array(signatures + [None] * b, pa.binary()), pa.array(wide + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
-                names=["doc_id", "node", "n", "signature", "wide", "shingle", "times"],
+                + [pa.array(signatures + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
+                names=["doc_id", "node", "n", "signature", "shingle", "times"],
             )
 
         none, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
@@ -74,18 +80,35 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                         seen.add(k)
                         held.append(s)
                 over = sum(map(len, held)) > 1_500_000
-                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], [_signature(s, WIDE) if len(s) >= WIDE_FROM else None for s in sets], *(frequent() if over else none))
-        yield rows(pa.nulls(0, pa.int64()), [], [], [], [], *frequent())
+                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], *(frequent() if over else none))
+        yield rows(pa.nulls(0, pa.int64()), [], [], [], *frequent())
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, wide binary, shingle bigint, times bigint")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, shingle bigint, times bigint")
 
 
 def _least(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _tiles(docs: DataFrame, words: int, percent: int, hot: np.ndarray, times: np.ndarray) -> DataFrame:
-    """Prefix rows (shingle, node, n, place) of every node that can have a partner; a task emits equal sets once."""
+def _frequent(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, with their counts: all from the least count on from which there are HOT
+    at most."""
+    often = read.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter("times >= 8")
+    steps = often.groupBy(F.floor(8 * F.log2("times")).alias("step")).count().orderBy(F.desc("step")).collect()  # 512 at most
+    upto = np.cumsum([r["count"] for r in steps])
+    some = [r["step"] for r, n in zip(steps, upto) if n <= HOT]
+    if not some:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = often.filter(F.floor(8 * F.log2("times")) >= some[-1]).toArrow()
+    hot, times = np.asarray(found.column(0)).view(np.uint64), np.asarray(found.column(1))
+    order = np.argsort(hot)
+    return hot[order], times[order]
+
+
+def _tiles(docs: DataFrame, words: int, percent: int, hot: np.ndarray, times: np.ndarray, tile_rows: int) -> DataFrame:
+    """Prefix rows (shingle, salt, salts, node, n, place) of every node that can have a partner; a task emits equal
+    sets once."""
+    many = 1 + times // tile_rows
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -115,28 +138,33 @@ def _tiles(docs: DataFrame, words: int, percent: int, hot: np.ndarray, times: np
                 per = np.array([len(p) for p in prefixes])
                 index = pa.array(np.repeat(np.arange(len(keys)), per))
                 place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                shingle, salts = np.concatenate(prefixes), np.ones(len(place), dtype=np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, shingle), len(hot) - 1)
+                    salts = np.where(hot[at] == shingle, many[at], 1).astype(np.int32)
+                salt = np.repeat(np.array([int.from_bytes(k[:4], "big") for k in keys]), per) % salts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(keys, pa.binary()).take(index), pa.array(np.repeat(np.array(sizes, dtype=np.int32), per)), pa.array(place.astype(np.int32))],
-                    names=["shingle", "node", "n", "place"],
+                    [pa.array(shingle.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(salts), pa.array(keys, pa.binary()).take(index), pa.array(np.repeat(np.array(sizes, dtype=np.int32), per)), pa.array(place.astype(np.int32))],
+                    names=["shingle", "salt", "salts", "node", "n", "place"],
                 )
 
-    return docs.select("text").mapInArrow(read, "shingle bigint, node binary, n int, place int")
+    return docs.select("text").mapInArrow(read, "shingle bigint, salt int, salts int, node binary, n int, place int")
 
 
-def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Prefix rows of shingles that several nodes have, each with its tile's first node (``hub``): nodes come by
-    shingle and size, and a new tile begins where the size leaves the band of its first node."""
+def _shared(prefixes: DataFrame, percent: int, at_once: int) -> DataFrame:
+    """Prefix rows of shingles that several nodes have or that are salted, each with its tile's first node (``hub``):
+    nodes come by shingle, salt and size, and a new tile begins where the size leaves the band of its first node."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
         for batch in batches:
             t = pa.Table.from_batches([batch] if carried is None else [carried, batch]).combine_chunks()
-            shingle = t.column("shingle").to_numpy()
-            # the last shingle may go on in the next batch
-            cut = int(np.searchsorted(shingle, shingle[-1])) if len(shingle) else 0
+            fresh = begins(t)
+            # the last salt of a shingle may go on in the next batch
+            cut = int(np.flatnonzero(fresh)[-1]) if len(fresh) else 0
             last = cut
-            if cut == 0 and len(shingle) > 50_000:
-                cut, last = len(shingle) - 1, len(shingle)  # one shingle fills the batch: its last node links on
+            if cut == 0 and len(fresh) > at_once:
+                cut, last = len(fresh) - 1, len(fresh)  # one tile fills the batch: its last node links on
             carried = t.slice(cut).to_batches()
             carried = carried[0] if carried else None
             if last:
@@ -144,29 +172,40 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
         if carried is not None and carried.num_rows:
             yield tiles(pa.Table.from_batches([carried]))
 
+    def begins(t: pa.Table) -> np.ndarray:
+        shingle, salt = t.column("shingle").to_numpy(), t.column("salt").to_numpy()
+        out = np.ones(len(shingle), dtype=bool)
+        out[1:] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
+        return out
+
     def tiles(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        shingle, n = t.column("shingle").to_numpy(), t.column("n").to_numpy()
-        same = np.zeros(len(shingle) + 1, dtype=bool)
-        same[1:-1] = shingle[1:] == shingle[:-1]
-        keep = np.flatnonzero(same[1:] | same[:-1])
-        t, shingle, n = t.take(pa.array(keep)), shingle[keep], n[keep]
-        hub = np.arange(len(keep))
-        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(keep) else []
-        ends = np.append(starts[1:], len(keep)) if len(keep) else []
-        for a, b in zip(starts, ends):
+        t, fresh = t.combine_chunks(), begins(t)
+        node = t.column("node").combine_chunks()
+        again = np.zeros(len(fresh), dtype=bool)  # tasks that read copies emit a node each
+        if len(fresh) > 1:
+            again[1:] = ~fresh[1:] & pc.equal(node.slice(1), node.slice(0, len(fresh) - 1)).to_numpy(zero_copy_only=False)
+        t = t.take(pa.array(np.flatnonzero(~again)))
+        fresh, salts = begins(t), t.column("salts").to_numpy()
+        alone = fresh & np.append(fresh[1:], True) & (salts == 1)
+        t = t.take(pa.array(np.flatnonzero(~alone))).combine_chunks()
+        fresh, n = begins(t), t.column("n").to_numpy()
+        hub = np.arange(len(n))
+        starts = np.flatnonzero(fresh)
+        for a, b in zip(starts, np.append(starts[1:], len(n))):
             while a < b:
                 stop = a + int(np.searchsorted(n[a:b], n[a] * 100 // percent, side="right"))
                 hub[a:stop] = a
                 a = max(stop, a + 1)
-        node = t.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([*[t.column(c).combine_chunks() for c in ("shingle", "node", "n", "place")], node.take(pa.array(hub))], names=["shingle", "node", "n", "place", "hub"])
+        columns = [t.column(c).combine_chunks() for c in ("shingle", "salt", "salts", "node", "n", "place")]
+        return pa.RecordBatch.from_arrays([*columns, columns[3].take(pa.array(hub)), columns[4].take(pa.array(hub))], names=["shingle", "salt", "salts", "node", "n", "place", "hub", "hub_n"])
 
-    ordered = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return ordered.mapInArrow(read, "shingle bigint, node binary, n int, place int, hub binary")
+    ordered = prefixes.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
+    return ordered.mapInArrow(read, "shingle bigint, salt int, salts int, node binary, n int, place int, hub binary, hub_n int")
 
 
-def _signature(s: np.ndarray, size: int = BITS) -> bytes:
+def _signature(s: np.ndarray) -> bytes:
+    """Parities of the elements by hash; large sets, whose differences would fill a narrow signature, have a wide one."""
+    size = WIDE if len(s) >= WIDE_FROM else BITS
     bits = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -175,9 +214,9 @@ def _signature(s: np.ndarray, size: int = BITS) -> bytes:
 BROADCAST_NODES = 500_000
 
 
-def _arrays(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, items) of ``nodes`` (doc_id, node; a written table), from the text of the document that stands for
-    the node."""
+def _arrays(docs: DataFrame, found: DataFrame, words: int, most: int) -> DataFrame:
+    """(node, items) of the nodes that ``found`` names, ``most`` at most, from the text of the document that stands
+    for the node."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +225,8 @@ def _arrays(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 got = [(k, s.tobytes()) for k, s in zip(want, sets) if _key(s) == k]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in list(zip(*got)) or [[]] * 2], names=["node", "items"])
 
-    wanted = nodes.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    if nodes.count() <= BROADCAST_NODES:
+    wanted = found.select(F.col("ia").alias("_id"), F.col("a").alias("_node")).union(found.select("ib", "b")).distinct()
+    if most <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_node")
     return texts.mapInArrow(read, "node binary, items binary")
@@ -197,37 +236,42 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
+def _narrow(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of BITS: wide ones are folded."""
+    out = np.zeros((len(signatures), BITS // 64), dtype=np.uint64)
+    for i, x in enumerate(signatures):
+        row = np.frombuffer(x, dtype=np.uint64)
+        out[i] = row if len(x) * 8 == BITS else np.bitwise_xor.reduce(row.reshape(-1, BITS // 64), axis=0)
+    return out
+
+
+def _rows_of_bits(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(narrow rows, signatures, whether they are wide)."""
+    signatures = column.to_pylist()
+    wide = np.array([len(x) * 8 == WIDE for x in signatures], dtype=bool)
+    bits = _narrow(signatures) if wide.any() else np.frombuffer(b"".join(signatures), dtype=np.uint64).reshape(-1, BITS // 64)
+    return bits, signatures, wide
+
+
 def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both. Large sets,
-    whose differences would fill a signature, have a wide one for what passes the first."""
+    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
-            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for k in (3, 6))
-            most = (na + nb - _differing(sa, sb)) // 2
+            (sa, xa, wa), (sb, xb, wb) = (_rows_of_bits(batch.column(k)) for k in (3, 6))
+            differing = _differing(sa, sb)
+            if len(both := np.flatnonzero(wa & wb)):
+                x, y = (np.frombuffer(b"".join([z[i] for i in both]), dtype=np.uint64).reshape(-1, WIDE // 64) for z in (xa, xb))
+                differing[both] = _differing(x, y)
+            most = (na + nb - differing) // 2
             ok = pa.array((100 * most >= percent * (na + nb - most)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7, 2, 5)], names=["a", "b", "ia", "ib", "na", "nb"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.ones(batch.num_rows, dtype=bool)
-            both = np.flatnonzero(~(np.asarray(batch.column(4).is_null()) | np.asarray(batch.column(5).is_null())))
-            if len(both):
-                at = pa.array(both)
-                na, nb = (batch.column(k).take(at).to_numpy().astype(np.int64) for k in (6, 7))
-                sa, sb = (np.frombuffer(b"".join(batch.column(k).take(at).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64) for k in (4, 5))
-                most = (na + nb - _differing(sa, sb)) // 2
-                ok[both] = 100 * most >= percent * (na + nb - most)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in range(4)], names=["a", "b", "ia", "ib"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7)], names=["a", "b", "ia", "ib"])
 
     one = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("doc_id").alias("ib"))
     met = pairs.join(one, "a").join(two, "b").select("a", "ia", "na", "sa", "b", "nb", "sb", "ib")
-    met = materialize(met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint, na bigint, nb bigint"), "join-met")
-    large = nodes.filter("wide is not null").select("node", "wide")
-    met = met.join(large.toDF("a", "wa"), "a", "left").join(large.toDF("b", "wb"), "b", "left").select("a", "b", "ia", "ib", "wa", "wb", "na", "nb")
-    return met.mapInArrow(again, "a binary, b binary, ia bigint, ib bigint")
+    return met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -243,47 +287,54 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, perc
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    found = materialize(_candidates(pairs, nodes, percent), "join-candidates")
-    named = found.select(F.col("a").alias("node"), F.col("ia").alias("doc_id")).union(found.select("b", "ib")).distinct()
-    arrays = materialize(_arrays(docs, materialize(named, "join-named"), words), "join-arrays")
+    found, seen = counted(_candidates(pairs, nodes, percent), "join-candidates", n=F.count("*"))
+    arrays = materialize(_arrays(docs, found, words, 2 * seen["n"]), "join-arrays")
     both = found.join(arrays.select(F.col("node").alias("a"), F.col("items").alias("xa")), "a").join(arrays.select(F.col("node").alias("b"), F.col("items").alias("xb")), "b")
     return both.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "xa", "xb").mapInArrow(read, "a bigint, b bigint")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that ``edges`` (a, b; bigint) reach from each id they name. Every round each
-    root takes its smallest neighbour, pointers are doubled, and edges contract to roots."""
-    e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = materialize(e, "component-edges")
-    both = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
-    roots = materialize(both.withColumn("root", F.col("id")), "component-roots")
-    while not e.isEmpty():
-        up = e.select(F.col("b").alias("x"), F.col("a").alias("y")).groupBy("x").agg(F.min("y").alias("y"))
-        up = materialize(up, "component-parents")
-        for _ in range(2):
-            above = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            up = up.join(above, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-        up = materialize(up, "component-parents")
-        roots = materialize(roots.join(up, roots["root"] == up["x"], "left").select("id", F.coalesce("y", "root").alias("root")), "component-roots")
-        a, b = up.select(F.col("x").alias("a"), F.col("y").alias("ya")), up.select(F.col("x").alias("b"), F.col("y").alias("yb"))
-        e = e.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ya", "a").alias("a"), F.coalesce("yb", "b").alias("b"))
-        e = materialize(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "component-edges")
-    return roots
-
-
-def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def connected(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((id, root) of every id that ``edges`` (a, b; bigint) link with a smaller one, the smallest that they reach; their
+    number). Edges are turned into stars: each id links its larger neighbours, then its smaller ones, with the
+    smallest, until nothing changes."""
+    state = {"n": F.count("*"), "bits": F.bit_xor(F.xxhash64("a", "b")), "sum": F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))}
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, seen = counted(e, "component-edges", **state)
+    before = None
+    while seen["n"] and seen != before:
+        before = seen
+        both = e.union(e.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
+        e = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        least = e.groupBy("a").agg(F.min("b").alias("_m"))
+        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("_e")).select("_e.*")
+        e, seen = counted(e.filter("a <> b").distinct(), "component-edges", **state)
+    return e.select(F.col("a").alias("id"), F.col("b").alias("root")), seen["n"]
+
+
+def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share a tile and that place, size and bit counts
-    don't exclude. Chunks of a shingle's nodes meet in pairs, by size, and only those whose bands touch."""
-    rows = shared.join(component, "node")
-    open_ = rows.groupBy("shingle").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("shingle")
-    rows = materialize(rows.join(open_, "shingle").join(nodes.select("node", "signature"), "node").select("shingle", "node", "n", "place", "component", "signature"), "join-open")
-    number = F.row_number().over(Window.partitionBy("shingle").orderBy("n", "node"))
-    rows = rows.withColumn("chunk", F.floor((number - 1) / CHUNK).cast("int"))
-    spans = rows.groupBy("shingle", "chunk").agg(F.min("n").alias("_small"), F.max("n").alias("_large"))
-    left, right = spans.select("shingle", F.col("chunk").alias("chunk"), F.col("_large").alias("_l")), spans.select("shingle", F.col("chunk").alias("other"), F.col("_small").alias("_s"))
-    meet = left.join(right, "shingle").filter(F.col("chunk") <= F.col("other")).filter(F.col("_s") * percent <= F.col("_l") * 100).select("shingle", "chunk", "other")
-    first = rows.join(meet, ["shingle", "chunk"]).withColumn("side", F.lit(0))
-    second = rows.join(meet.filter("chunk <> other").withColumnRenamed("chunk", "_c").withColumnRenamed("other", "chunk"), ["shingle", "chunk"])
+    don't exclude. Chunks of a shingle's nodes meet in pairs, by size, and only those whose bands touch and that
+    aren't both of the shingle's largest component."""
+    rows = shared.select("shingle", "salt", "salts", "node", "n", "place").join(component, "node")
+    parts = rows.groupBy("shingle", "component").agg(F.count("*").alias("_rows"), F.max("salts").alias("_salts"))
+    open_ = parts.groupBy("shingle").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_rows", "component")).alias("_largest"), F.max("_salts").alias("_salts")).filter("_parts > 1")
+    open_ = open_.select("shingle", "_largest", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
+    rows = rows.join(open_, ["shingle", "salt"]).withColumn("large", F.col("component") == F.col("_largest"))
+    rows = rows.join(nodes.select("node", "signature"), "node")
+    number = F.row_number().over(Window.partitionBy("shingle", "salt", "large").orderBy("n", "node"))
+    # a chunk's number holds its salt and whether it is of the largest component
+    at = F.floor((number - 1) / chunk).cast("bigint") * 2 + F.col("large").cast("bigint")
+    rows = rows.withColumn("chunk", at * F.col("salts") + F.col("salt"))
+    rows = materialize(rows.select("shingle", "node", "n", "place", "component", "signature", "chunk", "large"), "join-open")
+    spans = rows.groupBy("shingle", "chunk").agg(F.min("n").alias("_small"), F.max("n").alias("_large"), F.first("large").alias("large"))
+    left = spans.filter("not large").select("shingle", "chunk", F.col("_small").alias("_s"), F.col("_large").alias("_l"))
+    right = spans.select("shingle", F.col("chunk").alias("other"), F.col("_small").alias("_s2"), F.col("_large").alias("_l2"), F.col("large"))
+    touching = (F.col("_s2") * percent <= F.col("_l") * 100) & (F.col("_s") * percent <= F.col("_l2") * 100)
+    meet = left.join(right, "shingle").filter(F.col("large") | (F.col("chunk") <= F.col("other"))).filter(touching).select("shingle", "chunk", "other")
+    columns = ["shingle", "chunk", "node", "n", "place", "component", "signature"]
+    first = rows.select(*columns).join(meet, ["shingle", "chunk"]).withColumn("side", F.lit(0))
+    second = rows.select(*columns).join(meet.filter("chunk <> other").withColumnRenamed("chunk", "_c").withColumnRenamed("other", "chunk"), ["shingle", "chunk"])
     second = second.withColumn("other", F.col("chunk")).withColumn("chunk", F.col("_c")).drop("_c").withColumn("side", F.lit(1))
     cells = first.unionByName(second).repartition("shingle", "chunk", "other").sortWithinPartitions("shingle", "chunk", "other", "n", "node")
 
@@ -307,7 +358,7 @@ def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent:
         t = t.combine_chunks()
         cell, n, place, component, side = keys(t), *[t.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "component", "side")]
         cross = t.column("chunk").to_numpy() != t.column("other").to_numpy()
-        bits = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        bits = _rows_of_bits(t.column("signature"))[0]
         node = t.column("node").combine_chunks()
         found = [np.zeros((0, 2), dtype=np.int64)]
         step, at = 1, np.arange(len(cell))
@@ -333,60 +384,63 @@ def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent:
     return cells.select(*columns).mapInArrow(read, "a binary, b binary").distinct()
 
 
-def _second_stars(shared: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each open tile's nodes with the node that shares most of its prefix with others, where the
-    components differ: in a group of edited copies that is the text they come from."""
-    shares = shared.groupBy("node").agg(F.count("*").alias("_shares"), F.first("n").alias("_n"))
-    typical = shares.select("node", (F.col("_shares") / F.col("_n")).alias("_typical"))
-    rows = shared.select("shingle", "node", "n").distinct().join(component, "node").join(typical, "node")
-    hubs = rows.groupBy("shingle").agg(F.max_by(F.struct("node", "n", "component"), F.struct("_typical", "node")).alias("_hub"))
-    met = rows.join(hubs, "shingle").filter(F.col("component") != F.col("_hub.component"))
-    met = met.filter(F.least("n", "_hub.n") * 100 >= F.greatest("n", "_hub.n") * percent)
-    return met.select(F.col("node").alias("a"), F.col("_hub.node").alias("b")).distinct()
-
-
-def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n of every document; doc_id and root of those that are linked)."""
+def _stars(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each tile's nodes with its first node and with the one that shares most of its prefix with
+    others: in a group of edited copies that is the text they come from. The salts of a shingle are linked in a chain."""
+    typical = F.count("*").over(Window.partitionBy("node")) / F.col("n")
+    rows = shared.withColumn("_typical", typical)
+    tile = Window.partitionBy("shingle", "salt")
+    rows = rows.withColumn("_hub", F.max_by(F.struct("node", "n"), F.struct("_typical", "node")).over(tile))
+    pair = lambda a, na, b, nb: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.least(na, nb).alias("_s"), F.greatest(na, nb).alias("_l"))
+    c = F.col
+    pairs = rows.select(F.explode(F.array(pair(c("node"), c("n"), c("hub"), c("hub_n")), pair(c("node"), c("n"), c("_hub.node"), c("_hub.n")))).alias("p")).select("p.*")
+    firsts = shared.filter("salts > 1").select("shingle", "hub", "hub_n").distinct()
+    chain = Window.partitionBy("shingle").orderBy("hub_n", "hub")
+    firsts = firsts.select(c("hub"), c("hub_n"), F.lag("hub").over(chain).alias("_b"), F.lag("hub_n").over(chain).alias("_bn")).filter("_b is not null")
+    pairs = pairs.union(firsts.select(pair(c("hub"), c("hub_n"), c("_b"), c("_bn")).alias("p")).select("p.*"))
+    return pairs.filter((c("a") != c("b")) & (c("_s") * 100 >= c("_l") * percent)).select("a", "b").distinct()
+
+
+def _components(docs: DataFrame, words: int, percent: int, tile_rows: int = TILE_ROWS, at_once: int = AT_ONCE, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n of every document; id and root of those that are linked with a smaller id)."""
     read = materialize(document_sets(docs, words), "join-sets")
     found = read.filter("node is not null").select("doc_id", "node", "n")
-    often = read.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter("times >= 8")
-    often = often.orderBy(F.desc("times"), "shingle").limit(HOT).toArrow()
-    hot, times = np.asarray(often.column(0)), np.asarray(often.column(1))
-    order = np.argsort(hot.view(np.uint64))
-    hot, times = hot.view(np.uint64)[order], times[order]
-    usable = docs.filter("doc_id is not null")
-    shared = materialize(_shared(_tiles(usable, words, percent, hot, times), percent), "join-shared")
-    ids = found.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    signed = read.filter("node is not null").select("node", "n", "signature", "wide").dropDuplicates(["node"])
-    nodes = materialize(shared.select("node").distinct().join(ids, "node").join(signed, "node"), "join-nodes")
-    copies = found.filter("doc_id is not null and n > 0").join(ids.withColumnRenamed("doc_id", "b"), "node").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    stars = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = materialize(_links(docs, stars, nodes, words, percent), "join-stars")
-
-    def components(links: DataFrame) -> DataFrame:
-        roots = connected(links)
-        found = nodes.join(roots, nodes["doc_id"] == roots["id"], "left").select("node", F.coalesce("root", "doc_id").alias("component"))
-        return materialize(found, "join-components")
-
-    second = _links(docs, _second_stars(shared, components(stars), percent), nodes, words, percent)
-    stars = stars.union(materialize(second, "join-stars"))
-    component = components(stars)
-    across = _links(docs, _across(shared, nodes, component, percent), nodes, words, percent)
-    return found, connected(stars.union(across).union(copies))
-
-
-def document_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """Per document its set's size and the smallest id it is linked with, over any number of links."""
-    found, roots = _components(docs, words, percent)
+    hot, times = _frequent(read)
+    shared = materialize(_shared(_tiles(docs.filter("doc_id is not null"), words, percent, hot, times, tile_rows), percent, at_once), "join-shared")
+    usable = read.filter("node is not null and doc_id is not null and n > 0")
+    nodes = usable.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    nodes = materialize(nodes, "join-nodes")
+    ids = usable.groupBy("node").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_last")).filter("b <> _last").select("node", "b")
+    copies = usable.select("node", F.col("doc_id").alias("a")).join(ids, "node").filter("a <> b").select("a", "b")
+    roots, n = connected(_links(docs, _stars(shared, percent), nodes, words, percent).union(copies))
+    component = nodes.join(roots, nodes["doc_id"] == roots["id"], "left").select("node", F.coalesce("root", "doc_id").alias("component"))
+    links = _links(docs, _across(shared, nodes, component, percent, chunk), nodes, words, percent)
+    a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in ("a", "b"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    further, n = connected(between)
+    if n:
+        above = further.select(F.col("id").alias("root"), F.col("root").alias("_above"))
+        roots = roots.join(above, "root", "left").select("id", F.coalesce("_above", "root").alias("root")).union(further)
+    return found, roots
+
+
+def document_components(docs: DataFrame, words: int = 4, percent: int = 85, **tiles: int) -> DataFrame:
+    """Per document its set's size and the smallest id it is linked with, over any number of links. ``tiles`` are the
+    sizes of tiles and chunks, which the result doesn't depend on."""
+    found, roots = _components(docs, words, percent, **tiles)
     return found.join(roots, found["doc_id"] == roots["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def filter_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Documents without words or id
-    are in no group."""
+    are in no group. Of rows that are equal in id and text one stays; rows of one id with different texts all do."""
     _, roots = _components(docs, words, percent)
-    gone = roots.filter("id <> root").select("id")
-    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    # rows with one id are one document: of equal ones the first stays
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
-    return kept.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(number)).filter("_n = 1").select(*docs.columns)
+    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = roots.select(F.col("id").alias("_join_id"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("_join_id"), "left_anti").withColumn("_join_key", key)
+    again = docs.filter("doc_id is not null").select(key.alias("_join_again")).groupBy("_join_again").count().filter("count > 1").select("_join_again")
+    kept = kept.join(again, F.col("_join_key") == F.col("_join_again"), "left")
+    once, more = kept.filter("_join_again is null"), kept.filter("_join_again is not null")
+    number = F.row_number().over(Window.partitionBy("_join_key").orderBy(F.to_json(F.struct(*docs.columns))))
+    more = more.withColumn("_join_number", number).filter("_join_number = 1")
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns))

@@ -172,9 +172,10 @@ def test_join_matches_brute_force(spark, documents, size, percent):
     assert any(i != c for i, _, c in got)
 
 
-@pytest.mark.parametrize("chunk", [4, 256])
-def test_join_links_families_of_edited_copies(spark, monkeypatch, chunk):
-    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+@pytest.mark.parametrize("tiles", [{"chunk": 4}, {}, {"tile_rows": 3, "chunk": 4}, {"at_once": 40, "chunk": 4}])
+def test_join_links_families_of_edited_copies(spark, tiles):
+    if "at_once" in tiles:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
     shared = " ".join(f"p{i}" for i in range(60))
     texts = []
     for seed, edits in enumerate((1, 2, 3, 5, 8)):
@@ -188,10 +189,61 @@ def test_join_links_families_of_edited_copies(spark, monkeypatch, chunk):
             w = w[4:] + [f"n{seed}e{step}w{k}" for k in range(4)]
     texts += texts[:20]
     rows = list(enumerate(texts, 100))
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.document_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()), key=str)
+    try:
+        found = ngram_join.document_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), **tiles)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("tiles", [{"at_once": 64, "chunk": 8}, {"at_once": 64, "chunk": 8, "tile_rows": 20}])
+def test_join_cuts_a_tile_that_fills_what_is_read_at_once(spark, tiles):
+    """Copies of a text with 1, 4 and 12 words added: shingles of the text are in the prefixes of the first two kinds, of
+    which those of the second are linked over the first only."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 32)
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(k, text + "".join(f" e{k}w{i}" for i in range((1, 4, 12)[k % 3]))) for k in range(400)]
+    try:
+        found = ngram_join.document_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), **tiles)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
+        read = ngram_join.document_sets(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 4)
+        hot, times = ngram_join._frequent(read)
+        prefixes = ngram_join._tiles(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85, hot, times, tiles.get("tile_rows", 1 << 20))
+        longest = max(r["count"] for r in prefixes.groupBy("shingle", "salt").count().collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute_components(rows, 4, 85) and len({c for _, _, c in got}) == 1 + 133
+    assert ("tile_rows" in tiles) == (longest < 64)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_connected_matches_union_find(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found, n = ngram_join.connected(spark.createDataFrame(edges, "a bigint, b bigint"))
+    got = {r.id: r.root for r in found.collect()}
+    assert got == {x: find(x) for x in root if find(x) != x} and n == len(got)
+    found, n = ngram_join.connected(spark.createDataFrame([], "a bigint, b bigint"))
+    assert found.count() == n == 0
+
+
+def test_join_keeps_rows_of_one_id_with_different_texts(spark):
+    rows = [(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "y"), (1, "k l m n o p q", "x"), (None, "a b c d e", "x"), (None, "a b c d e", "x")]
+    got = sorted((str(r.doc_id), r.text) for r in ngram_join.filter_documents(spark.createDataFrame(rows, "doc_id bigint, text string, node string")).collect())
+    assert got == [("1", "a b c d e f g h"), ("1", "k l m n o p q"), ("None", "a b c d e"), ("None", "a b c d e")]
+
+
 def test_join_cases(odd, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.document_components(odd).collect()), key=str)
     assert got == brute_components([(r[0], r[1]) for r in ODD], 4, 85)
