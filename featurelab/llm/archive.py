@@ -6,8 +6,10 @@ original records. Of records with equal payloads of at least ``least_bytes`` byt
 is a ``response``, the others ``revisit`` it.
 
 Defined cases: null html is an empty payload; a null url gives an empty target URI; line ends inside a url are
-written percent-encoded, so that they can't end a header line; pages with equal ids and payloads are one
-response and revisits of it; an empty table gives an empty archive; further columns don't matter.
+written percent-encoded, so that they can't end a header line; pages of the smallest id among
+those of a payload are responses each, if there are several; a page without an id revisits the payload's response, and
+is a response itself where no page of that payload has an id; an empty table gives an empty archive; further columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -42,10 +44,8 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
     firsts = spark.read.schema(stored.schema).parquet(f"{path}/payloads").select("sha256", "first_id")
     known = base.select("page_id", "url", F.octet_length("payload").cast("long").alias("bytes"), "sha256", F.unhex(F.sha1("payload")).alias("sha1"))
-    # rows with equal ids too: the first of them is the response
-    small = F.when(F.col("bytes") < least_bytes, F.col("page_id"))
     rows = known.join(firsts, "sha256")
-    original = (F.col("page_id") == F.col("first_id")) | small.isNotNull() | F.col("first_id").isNull()
+    original = (F.col("bytes") < least_bytes) | F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
     uri = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     identity = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     lines = [

@@ -16,10 +16,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one if all tasks run in this process,
+    an error otherwise: executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="featurelab-")
     return _OWN["dir"]
@@ -80,9 +83,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["i"][:n]
 
 
-def text_slices(texts: pa.Array, most: int = 1 << 20):
-    """(first row, bytes, row offsets) of runs of rows of about ``most`` bytes; a longer text is a run of
-    its own. Null texts are empty."""
+def text_slices(texts: pa.Array, most: int = 1 << 20, rows: int = 1 << 20):
+    """(first row, bytes, row offsets) of runs of ``rows`` rows at most and about ``most`` bytes; a longer text is a
+    run of its own. Null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -92,7 +95,7 @@ def text_slices(texts: pa.Array, most: int = 1 << 20):
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

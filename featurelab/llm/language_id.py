@@ -24,7 +24,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import id_crc, materialize, text_slices
 
-BUCKETS = 2048
+#: Buckets of hashed n-grams, and texts at once at most: their vectors take 16 MB.
+BUCKETS, ROWS = 2048, 1024
 #: Families of some languages by code; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -41,7 +42,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, square roots of the shares of hashed n-grams), in slices of whole texts."""
-    for at, data, offsets in text_slices(texts):
+    for at, data, offsets in text_slices(texts, rows=ROWS):
         rows = len(offsets) - 1
         b = _FOLD[data]
         if len(b):

@@ -386,7 +386,10 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     offsets = counted.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("_own", own - 1).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_own"))
-    joined = ranked.join(slots, "length").filter("_rank >= low and _rank < high")
+    # ranges meet ranks in cells of equal size, so that a frequent length is not all of its pieces by all of its ranges
+    cell = 12
+    cells = slots.withColumn("_cell", F.explode(F.sequence(F.shiftright("low", cell), F.shiftright(F.col("high") - 1, cell))))
+    joined = ranked.withColumn("_cell", F.shiftright("_rank", cell)).join(cells, ["length", "_cell"]).filter("_rank >= low and _rank < high")
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
 
 

@@ -6,8 +6,10 @@ and on bad documents and the share of good ones, and a document's posterior prob
 "all rules must pass".
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows are
-judged alike, one result row each; an empty table gives an empty result; further columns are ignored by the
-query and kept by :func:`filter_documents`; feature names start with ``_q_`` so that no input column clashes.
+judged alike, one result row each; repeats are looked for among neighbours in the order of 38 bits of the windows'
+hashes, so that two of n windows are missed if a third one with these bits comes between them, whose chance is below
+n^3 / 2^76; places have 26 bits, so texts of more than 67 million words are not defined; an empty table gives an empty
+result; further columns are ignored by the query and kept by :func:`filter_documents`; feature names start with ``_q_`` so that no input column clashes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Bits of a packed window that hold its place; a text of 2^26 words is beyond what a row can hold.
+#: Bits of a packed window that hold its place.
 _PLACE_BITS = 26
 RULES = ("length", "symbols", "lines", "repeats", "word_length", "shouting", "sentences", "variety")
 

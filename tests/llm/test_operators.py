@@ -411,6 +411,66 @@ def test_mixing(documents):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
+def brute_mix(spark, rows, block, step):
+    """(doc_id, size, taken, first slot) by going through the slots one by one."""
+    frame = spark.createDataFrame([(i, s, len(words(t))) for i, t, s in rows], "doc_id bigint, source string, size bigint")
+    hashed = [tuple(r) for r in frame.selectExpr("doc_id", "source", "size", "xxhash64(17, doc_id) AS h").collect()]
+    targets = {r.source: r for r in mixing.source_targets(frame).collect()}
+    order = sorted((s for s in targets if s is not None)) + ([None] if None in targets else [])
+    need, streams = {}, {}
+    for s in order:
+        size, to_take = targets[s].source_size, round(targets[s].target)
+        blocks = -(-size // block)
+        need[s] = to_take // size * blocks + -(-(to_take % size) // block) if size else 0
+        own = sorted((r for r in hashed if r[1] == s and r[2]), key=lambda r: (r[3] % 16, r[3], r[0], r[2]))
+        streams[s] = [k for k, r in enumerate(own) for _ in range(r[2])], own, blocks, to_take
+    total, upto, spans = sum(need.values()), 0, {}
+    for s in order:
+        low, upto = upto, upto + need[s]
+        spans[s] = (int(low / total * 2**31), int(upto / total * 2**31))
+    ranks, slots, over = Counter(), {}, []
+    for k in range(total):
+        point = k * step % 2**31
+        (s,) = [s for s in order if spans[s][0] <= point < spans[s][1]]
+        if ranks[s] < need[s]:
+            slots[(s, ranks[s])] = k
+        else:
+            over.append(k)
+        ranks[s] += 1
+    short = sorted((r, order.index(s)) for s in order for r in range(ranks[s], need[s]))
+    slots |= {(order[s], r): k for (r, s), k in zip(short, over)}
+    taken, first = Counter(), {}
+    for (s, rank), slot in slots.items():
+        stream, own, blocks, to_take = streams[s]
+        whole, at = divmod(rank, blocks)
+        left = len(stream) if whole < to_take // len(stream) else to_take % len(stream)
+        for k in stream[at * block : min((at + 1) * block, left)]:
+            taken[(s, k)] += 1
+            first[(s, k)] = min(first.get((s, k), slot), slot)
+    out = [(r[0], r[2], taken[(s, k)], first.get((s, k))) for s in order for k, r in enumerate(streams[s][1])]
+    return sorted([*out, *((i, 0, 0, None) for i, _, n, _ in hashed if not n)], key=str)
+
+
+@pytest.mark.parametrize("step", [mixing.GOLDEN_31, 1 << 30, 5])
+def test_mix_is_what_the_slots_read(spark, documents, step):
+    rows = [(r.doc_id, r.text, r.source) for r in documents.collect()]
+    got = sorted(((r.doc_id, r.size, r.taken, r.first_slot) for r in mixing.document_shares(documents, 64, step).collect()), key=str)
+    assert got == brute_mix(spark, rows, 64, step)
+    if step != mixing.GOLDEN_31:  # another schedule is another mix
+        assert got != sorted(((r.doc_id, r.size, r.taken, r.first_slot) for r in mixing.document_shares(documents, 64).collect()), key=str)
+
+
+def test_mixed_documents_come_in_the_order_of_their_slots(documents):
+    mixed = [r.doc_id for r in mixing.mix_documents(documents, in_order=True).collect()]
+    assert len(mixed) > len(set(mixed)) > 50
+    total, sources = len(mixed), {r.doc_id: r.source for r in documents.collect()}
+    whole = Counter(sources[i] for i in mixed)
+    half = Counter(sources[i] for i in mixed[: total // 2])  # each source is spread over the mix
+    assert all(abs(half[s] - n / 2) <= 0.25 * n + 2 for s, n in whole.items())
+    parts = mixing.mix_documents(documents.repartition(3)).rdd.glom().map(lambda rows: [r.doc_id for r in rows]).collect()
+    assert Counter(sum(parts, [])) == Counter(mixed)
+
+
 def test_mixing_cases(odd, empty):
     check_mix(mixing.document_shares(odd).collect(), [(r[0], r[1], r[3]) for r in ODD])
     assert mixing.document_shares(empty).count() == 0
@@ -420,9 +480,10 @@ def test_mixing_cases(odd, empty):
 
 def test_schedule_has_low_discrepancy(spark):
     plan = mixing._plan(spark.createDataFrame([("a", 50_000, 75_000.0), ("b", 30_000, 30_000.0), ("c", 20_000, 20_000.0)], "source string, source_size bigint, target double"), 100)
-    slots = mixing.schedule(plan).orderBy("slot").collect()
+    slots = mixing.schedule(plan, plan.agg({"needed": "sum"}).first()[0]).orderBy("slot").collect()
     need = {r.source_no: r.needed for r in plan.collect()}
     assert Counter(s.source_no for s in slots) == Counter(need)
+    assert [s.slot for s in slots] == list(range(len(slots)))
     for s in need:
         assert sorted(x.rank for x in slots if x.source_no == s) == list(range(need[s]))
     total, seen = sum(need.values()), Counter()
@@ -666,3 +727,51 @@ def test_pipeline_stages(spark, documents):
             before = docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     check_packing(out, [(r.doc_id, r.text) for r in docs.collect()], 1)
+
+
+# ---------------------------------------------------------------- shared
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from featurelab.llm import common
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(unset("local-cluster[3,2,1000]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(unset("spark://h:7077"))
+    assert common.shared_dir(unset("local[2]")).startswith("file://")
+
+
+def test_archive_of_pages_without_an_id(spark):
+    rows = [(None, "u", "<p>a"), (3, "u", "<p>a"), (5, "u", "<p>a"), (None, "u", "<p>b"), (None, "u", "<p>b"), (3, "u", "<p>a")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in archive.archive_round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()), key=str)
+    assert got == sorted([(None, "revisit", 3), (3, "response", None), (3, "response", None), (5, "revisit", 3), (None, "response", None), (None, "response", None)], key=str)
+
+
+def test_packing_with_ranks_gives_the_tokenizer_ids(documents, odd):
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    for df in (documents, odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = packing.packed_pieces(df, tokenizer_path(), ranks=ranks).collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter(reference_pieces(rows))
+
+
+def test_encoder_with_ranks_equals_the_tokenizer_on_odd_strings():
+    encoder = packing.Encoder(tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(tokenizer_path()), np.random.default_rng(3)
+    signs = ["a", "B", "é", "ß", "1", "23", " ", "  ", "\n", "\t", "'s", "'ll", ".", ",", "!", "-", "😀", "日本", " ", "​", "\0", "_", "don't", "x\n\ny", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs, size=rng.integers(1, 14)))
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_short_texts_are_sliced_by_rows():
+    import pyarrow as pa
+
+    sizes = [len(x) for _, x in language_id.features(pa.array(["ab"] * 5000))]
+    assert sum(sizes) == 5000 and max(sizes) == language_id.ROWS
