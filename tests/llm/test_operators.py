@@ -662,6 +662,67 @@ def test_cotraining_beats_chance_on_held_out_labels(spark):
     assert auc > 0.85
 
 
+def auc(labels, scores):
+    good, bad = [s for y, s in zip(labels, scores) if y], [s for y, s in zip(labels, scores) if not y]
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
+def two_views(spark, n=1500, labelled=150):
+    """Documents whose words and whose source both tell good from bad, each with errors of its own."""
+    rng = np.random.default_rng(5)
+    docs, labels = [], []
+    for k in range(n):
+        good = int(rng.random() < 0.6)
+        of = [f"{'good' if rng.random() < (0.62 if good else 0.38) else 'poor'}{rng.integers(12)}" for _ in range(30)]
+        docs.append((k, " ".join(of), "en", f"{'site' if (rng.random() < 0.95) == bool(good) else 'farm'}{rng.integers(3)}", 150))
+        labels.append((k, good))
+    return docs, labels, spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"), spark.createDataFrame(labels[:labelled], "doc_id bigint, quality int")
+
+
+def test_cotraining_views_teach_each_other(spark):
+    _, labels, docs, some = two_views(spark)
+    model = cotraining.co_train(docs, some)
+    assert len(model.taught) == 2 and all(min(t[v]) > 10 for t in model.taught for v in cotraining.VIEWS)
+    for t in model.taught:  # in the proportion of the labelled classes
+        assert all(0.4 < t[v][1] / sum(t[v]) < 0.8 for v in cotraining.VIEWS)
+    found = {rounds: {r.doc_id: r for r in cotraining.score_documents(docs, some, rounds=rounds).collect()} for rounds in (0, 2)}
+    rest = labels[150:]
+    one = {(rounds, c): auc([y for _, y in rest], [found[rounds][i][c] for i, _ in rest]) for rounds in (0, 2) for c in ("score", "text_score", "metadata_score")}
+    assert one[(2, "score")] > max(one[(2, "text_score")], one[(2, "metadata_score")])
+    assert one[(2, "text_score")] > one[(0, "text_score")] + 0.01  # the text's classifier has learned from the metadata's
+
+
+def test_cotraining_features_by_hand():
+    import pyarrow as pa
+
+    text = "Ab, ab ab\nx 7é"
+    ((at, x),) = cotraining.text_features(pa.array([text]))
+    assert at == 0 and x.shape == (1, cotraining.CELLS + cotraining.CLASSES + 5)
+    data = text.encode()
+    shares = Counter(cotraining._CLASS[b] for b in data)
+    got = x[0, cotraining.CELLS : cotraining.CELLS + cotraining.CLASSES] ** 2
+    assert all(abs(got[k] - shares[k] / len(data)) < 1e-9 for k in range(cotraining.CLASSES))
+    assert np.allclose(x[0, -5:], [np.log1p(5), sum(len(w.encode()) for w in text.split()) / 5 / 10, 4 / 5, 1 / 5, 1])
+    # five words and four pairs of words
+    assert abs((x[0, : cotraining.CELLS] ** 2).sum() - 1) < 1e-9 and 1 <= round(1 / min(v for v in x[0, : cotraining.CELLS] ** 2 if v)) <= 9
+    known = {"source": {"s": 0, None: 1}, "lang": {"en": 0}}
+    y = cotraining.metadata_features(pa.array(["s", None, "new"]), pa.array(["en", "xx", None]), pa.array([0, None, 1000]), known)
+    assert y.sum(axis=1).tolist() == [3, 3, 3] and [int(np.flatnonzero(r)[0]) for r in y] == [0, 1, cotraining.SOURCES]
+
+
+def test_cotraining_labels_of_one_class_to_fit_on(spark):
+    docs, labels, frame, _ = two_views(spark, 60, 0)
+    inside = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    one = [(i, 0 if i in inside else 1) for i, _ in labels]
+    got = cotraining.score_documents(frame, spark.createDataFrame(one, "doc_id bigint, quality int")).collect()
+    mean = sum(y for _, y in one) / len(one)
+    assert len(got) == 60 and all(abs(r.score - mean) < 1e-9 and r.text_score == r.metadata_score == r.score for r in got)
+    # and of one class to calibrate on
+    two = [(i, 1 if i in inside else y) for i, y in labels]
+    got = cotraining.score_documents(frame, spark.createDataFrame(two, "doc_id bigint, quality int")).collect()
+    assert len(got) == 60 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got}) > 10
+
+
 def test_cotraining_cases(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (6, 1, 0), (5, 0, 0), (5, None, 0), (8, 1, 0), (9, 0, 1), (10, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = cotraining.score_documents(odd, labels).collect()
