@@ -773,6 +773,84 @@ def test_extraction_deduces_a_template_per_layout(spark):
     assert got == {10 * k + i: f"{name} {i}" for k, name in enumerate(layouts) for i in range(10)} | {99: "once\nTold by the staff."}
 
 
+PAGES = "page_id bigint, url string, html string"
+
+
+def plain_page(i, paragraphs=3):
+    """No element's name tells anything, and there is no article element."""
+    said = "".join(f"<p>Paragraph {k} of page {i} says a good deal about topic {i * 7 + k} and its history.</p>" for k in range(1 + (i + paragraphs) % 4))
+    return f"""<html><head><title>Page {i}</title></head><body class="k1"><div class="a1"><div><a href="/a">Start</a></div><div><a href="/{i}">Number {i}</a></div></div>
+    <div class="b2"><h2>About {i}</h2>{said}</div><div class="c3"><span>Buy item {i * 13 % 101} now, today only</span></div><div class="d4">All rights kept</div></body></html>"""
+
+
+def plain_text(i):
+    return "\n".join([f"About {i}", *(f"Paragraph {k} of page {i} says a good deal about topic {i * 7 + k} and its history." for k in range(1 + (i + 3) % 4))])
+
+
+def test_extraction_by_slots_of_the_template(spark):
+    rows = [(i, f"http://plain.example/{i}", plain_page(i)) for i in range(12)] + [(100 + i, "http://plain.example/c", plain_page(3)) for i in range(5)]
+    df = spark.createDataFrame(rows, PAGES).repartition(3)
+    got = {r.page_id: r.text for r in template_extraction.main_texts(df).collect()}
+    assert got == {i: plain_text(i) for i in range(12)} | {100 + i: plain_text(3) for i in range(5)}
+    # it is the template that decides: without it, menus and offers stay
+    assert template_extraction.main_text(plain_page(3), None, None) != plain_text(3)
+    templates, _ = template_extraction.deduce_templates(df)
+    (t,) = templates.collect()
+    assert len(t.classes) == len(t.choices) == 1 and len(t.classes[0].roots) >= 7
+    # another host with the same pages, but too few of them, has no template
+    few = {r.page_id: r.text for r in template_extraction.main_texts(df.filter("page_id < 3")).collect()}
+    assert all(few[i] != plain_text(i) for i in range(3))
+
+
+def test_extraction_splits_a_layout_by_the_order_of_its_elements(spark):
+    def turned(i):
+        a, b = f'<div class="x"><p>Offer {i} for you</p></div>', f'<div class="y"><p>{plain_text(i)}</p><p>More on {i}</p></div>'
+        return f"<html><body>{a + b if i % 2 else b + a}</body></html>"
+
+    rows = [(i, "http://turned.example/", turned(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in template_extraction.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: " ".join(plain_text(i).split()) + f"\nMore on {i}" for i in range(20)}
+
+
+def test_extraction_classes_match_vectors_by_hand(spark):
+    rows = [(i, "http://plain.example/", plain_page(i)) for i in range(9)]
+    (c,) = template_extraction.template_classes(spark.createDataFrame(rows, PAGES).repartition(4)).collect()
+    vectors = defaultdict(lambda: [0] * 9)
+    for i, _, source in rows:
+        for e in template_extraction.page_events(source):
+            if e[0] == template_extraction.OPEN:
+                vectors[e[1]][i] += 1
+    assert set(c.roots) == {path for path, v in vectors.items() if v == [1] * 9}
+
+
+def test_extraction_keeps_what_only_sounds_like_other_parts(spark):
+    page = """<body><article><h1 class="page-header">Head</h1><p>One</p><h2 id="related-work">Related work</h2><p class="comment">Two</p><div class="side-effects">Three</div></article></body>"""
+    more = """<body><div class="ad-box">Buy</div><article><p>In</p></article><p>A long text outside of the article element, longer than what is in it</p></body>"""
+    rows = [(1, "http://a/", page), (2, "http://b/", more)] + [(10 + i, "http://c/", page.replace("One", f"One {i}").replace("Two", f"Two {i}")) for i in range(9)]
+    got = {r.page_id: r.text for r in template_extraction.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1] == "Head\nOne\nRelated work\nTwo\nThree"
+    assert got[2] == "In\nA long text outside of the article element, longer than what is in it"
+    assert all("Two %d" % i in got[10 + i] and "One %d" % i in got[10 + i] for i in range(9))
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a 'x", '<p title="', "<!", "</", "<div>", "<b>", "<div><b>", "</div>", "<p>", "<script", "<!--", "<a b=c ", "&amp;", "<b><hr>"])
+def test_extraction_of_long_malformed_pages_takes_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    text = template_extraction.main_text("begin " + piece * ((1 << 20) // len(piece)) + " <p>end", None, None)
+    assert time.perf_counter() - began < 20 and text.startswith("begin")
+
+
+def test_extraction_of_unclosed_elements_and_end_tags_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for source in ("<div>" * 60_000 + "</b>" * 60_000, "<b>" * 60_000 + "<hr>" * 60_000, "<p>" + "<div>" + "<b>" * 60_000 + "<hr>" * 60_000, "<p><b>" * 60_000):
+        template_extraction.main_text(source + "x", None, None)
+    assert time.perf_counter() - began < 20
+
+
 # ---------------------------------------------------------------- pipeline
 
 
