@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by inner product: inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample (``sample`` rows by hash of the id); every row is
-then assigned to its nearest centroid's list and its residual encoded. Rows are dealt to shards by id, each of
-which holds its part of every list, so that a list with a third of all rows is no single task. A query probes the
-lists of the largest centroid products until they hold the share of rows that reaches ``recall`` on the sample,
-ranks their rows by asymmetric distance tables and reranks each shard's ``shortlist`` exactly, in double precision.
+then assigned to its nearest centroid's list and its residual encoded. Lists that lie near each other make a shard, in
+which a list of more than SHARD_ROWS rows is several shards by hash of the id. A query probes the lists of the largest
+centroid products until they hold the share of rows that reaches ``recall`` on the sample: it goes to the shards that
+have such lists only, there scores their rows only by asymmetric distance tables, and reranks each shard's ``shortlist``
+exactly, in double precision. Queries meet a shard in chunks, so that a task holds a bounded number of both.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite components
-take no part, neither as query nor as candidate; rows with equal ids count once; equal scores go to the smaller
-id; with fewer candidates than ``k`` all are returned; an empty table gives an empty result; further columns are
+take no part, neither as query nor as candidate; of rows with equal ids the nearest counts, once; equal scores go to the
+smaller id; with fewer candidates than ``k`` all are returned; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Shards at least, and rows of a shard at most.
-SHARDS, SHARD_ROWS = 24, 20_000
+#: Shards at least, rows of a shard about, queries of a chunk about.
+SHARDS, SHARD_ROWS, CHUNK = 24, 20_000, 20_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -101,7 +102,36 @@ def build_index(rows: DataFrame, model: dict) -> DataFrame:
     return rows.mapInPandas(encode, "vec_id bigint, list_id bigint, code binary, embedding array<double>")
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96, shortlist: int = 60) -> DataFrame:
+def _bundles(centroids: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of each list: lists are halved across the direction in which they differ most
+    until a bundle holds ``most`` rows; a larger list is several shards."""
+    first, splits, shards = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64), 0
+    todo = [np.arange(len(sizes))]
+    while todo:
+        lists = todo.pop()
+        if len(lists) > 1 and sizes[lists].sum() > most:
+            x = centroids[lists] - centroids[lists].mean(axis=0)
+            along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
+            lists = lists[np.argsort(along, kind="stable")]
+            half = int(np.searchsorted(np.cumsum(sizes[lists]), sizes[lists].sum() / 2, side="right"))
+            half = min(max(half, 1), len(lists) - 1)
+            todo += [lists[:half], lists[half:]]
+        else:
+            first[lists], splits[lists] = shards, max(1, -(-int(sizes[lists].sum()) // most))
+            shards += int(splits[lists[0]])
+    return first, splits
+
+
+def _probed(near: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Which lists each query probes, by its products with the centroids (``near``)."""
+    order = np.argsort(-near, axis=1, kind="stable")
+    reach = np.cumsum(sizes[order], axis=1)
+    probed = np.zeros(near.shape, dtype=bool)
+    np.put_along_axis(probed, order, reach - sizes[order] < least, axis=1)
+    return probed
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96, shortlist: int = 60, shard_rows: int = SHARD_ROWS, chunk: int = CHUNK) -> DataFrame:
     """The ``k`` nearest rows found for every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -112,43 +142,66 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
     rows = rows.filter(F.size("embedding") == dim)
     model = fit_index(rows, n, recall=recall)
     index = materialize(build_index(rows, model), "ann-index")
-    held = dict(index.groupBy("list_id").count().collect())  # at most 4,096 rows
-    sizes = np.array([held.get(i, 0) for i in range(len(model["centroids"]))], dtype=np.int64)
+    held = {r.list_id: r for r in index.groupBy("list_id").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("queries")).collect()}  # at most 4,096 rows
+    sizes = np.array([held[i].n if i in held else 0 for i in range(len(model["centroids"]))], dtype=np.int64)
+    chunks = max(1, -(-sum(r.queries for r in held.values()) // chunk))
     least = max(8 * k, model["share"] * n)
-    shards = max(SHARDS, -(-n // SHARD_ROWS))
+    first, splits = _bundles(model["centroids"], sizes, max(1, min(shard_rows, -(-n // SHARDS))))
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            q = np.array(f["embedding"].tolist()).reshape(len(f), -1)
+            for lo in range(0, len(f), 512):
+                probed = _probed(q[lo : lo + 512] @ model["centroids"].T, sizes, least)
+                found = [np.unique(np.concatenate([np.arange(a, a + s) for a, s in set(zip(first[p].tolist(), splits[p].tolist()))])) for p in probed]
+                at = np.repeat(np.arange(lo, lo + len(found)), [len(x) for x in found])
+                part = f.iloc[at].copy()
+                part["shard"] = np.concatenate(found)
+                yield part[["query_id", "embedding", "shard"]]
 
     def scan(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if not len(queries) or not len(rows):
-            return none
-        rows = rows.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        ids, lists, x = rows["vec_id"].to_numpy(), rows["list_id"].to_numpy(), np.array(rows["embedding"].tolist())
-        codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-        found = [none]
+            return found[0]
+        rows = rows.sort_values(["list_id", "vec_id"], kind="stable")
+        ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist())
+        codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1).astype(np.int64)
+        lists, starts = np.unique(rows["list_id"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(rows))
         step = max(1, 500_000 // len(rows))
         for lo in range(0, len(queries), step):
             part = queries.iloc[lo : lo + step]
             q, own = np.array(part["embedding"].tolist()), part["query_id"].to_numpy()
             near = q @ model["centroids"].T
-            order = np.argsort(-near, axis=1, kind="stable")
-            reach = np.cumsum(sizes[order], axis=1)
-            probed = np.zeros(near.shape, dtype=bool)
-            np.put_along_axis(probed, order, reach - sizes[order] < least, axis=1)
-            approx = near[:, lists]
-            for m, (cut, book) in enumerate(zip(model["cuts"], model["books"])):
-                approx += (q[:, cut] @ book.T)[:, codes[:, m]]
-            approx[~probed[:, lists] | (own[:, None] == ids[None, :])] = -np.inf
-            best = np.argsort(-approx, axis=1, kind="stable")[:, :shortlist]
+            probed = _probed(near, sizes, least)
+            tables = [(q[:, cut] @ book.T).astype(np.float32) for cut, book in zip(model["cuts"], model["books"])]
+            approx = np.full((len(part), len(rows)), -np.inf, dtype=np.float32)
+            for name, a, b in zip(lists, starts, ends):  # the lists that a query doesn't probe cost it nothing
+                some = np.flatnonzero(probed[:, name])
+                if not len(some):
+                    continue
+                block = np.repeat(near[some, name].astype(np.float32)[:, None], b - a, axis=1)
+                for m, table in enumerate(tables):
+                    block += table[some][:, codes[a:b, m]]
+                approx[some, a:b] = block
+            approx[own[:, None] == ids[None, :]] = -np.inf
+            most = min(shortlist, len(rows))
+            best = np.argpartition(-approx, most - 1, axis=1)[:, :most]
             for i in range(len(part)):
                 b = best[i][np.isfinite(approx[i, best[i]])]
                 exact = x[b] @ q[i]
-                top = np.lexsort((ids[b], -exact))[:k]
+                top = np.lexsort((ids[b], -exact))
+                top = top[np.sort(np.unique(ids[b][top], return_index=True)[1])][:k]
                 found.append(pd.DataFrame({"query_id": np.full(len(top), own[i]), "vec_id": ids[b][top], "score": exact[top]}))
         return pd.concat(found)
 
     queries = index.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = index.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    hits = queries.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
+    queries = queries.mapInPandas(route, "query_id bigint, embedding array<double>, shard bigint").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    # every chunk of queries reads the shard's rows again, of which there are about as many
+    of = spark.createDataFrame([(i, int(a), int(s)) for i, (a, s) in enumerate(zip(first, splits))], "list_id bigint, _first bigint, _splits bigint")  # at most 4,096 rows
+    dealt = index.join(F.broadcast(of), "list_id").withColumn("shard", F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_splits"))).drop("_first", "_splits")
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    hits = queries.groupBy("shard", "chunk").cogroup(dealt.groupBy("shard", "chunk")).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -635,6 +635,42 @@ def test_search_recall(spark):
         assert len(got[q]) == 20 and [x for x in got[q]] == sorted(got[q], key=lambda x: (-x[1], x[0]))
 
 
+def test_search_of_clustered_vectors_probes_few_lists(spark):
+    """40 clusters, of which one has a third of all rows: its lists are dealt over shards, queries go in chunks."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 4
+    rows = [(i, (centres[0 if i % 3 == 0 else rng.integers(1, 40)] + rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
+    want = brute_neighbours(rows, 20, 20)
+    model = ann.fit_index(ann.usable(vectors), 3000)
+    assert model["share"] < 0.5
+    for options in ({}, {"shard_rows": 100, "chunk": 7}):
+        got = defaultdict(list)
+        for r in ann.search(vectors, **options).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got.keys() == want.keys()
+        assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) > 0.93
+
+
+def test_lists_are_dealt_into_shards_of_bounded_rows():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 50, 64)
+    sizes[5] = 900
+    first, splits = ann._bundles(rng.normal(size=(64, 8)), sizes, 100)
+    held = Counter()
+    for i, n in enumerate(sizes):
+        for k in range(splits[i]):
+            held[first[i] + k] += n / splits[i]
+    assert max(held.values()) <= 100 and splits[5] == 9 and len(held) < sizes.sum() / 25
+    near, least = rng.normal(size=(3, 64)), 300
+    probed = ann._probed(near, sizes, least)
+    for q in range(3):
+        order, reach = np.argsort(-near[q]), 0
+        for i in order:
+            assert probed[q, i] == (reach < least)
+            reach += sizes[i]
+
+
 def test_search_cases(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(12)] + [(20, None), (40, [0.0] * 4), (60, [1.0, None, 0.0, 0.0]), (80, [float("nan")] * 4), (100, [float("inf")] * 4), (120, [1.0, 2.0]), (5, rng.normal(size=4).tolist())]
