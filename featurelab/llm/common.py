@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of about ``size`` at most in what is executed inside, for rows that may be large each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """:func:`materialize` with aggregates of the rows, taken while they are written."""
     seen = Observation()
@@ -83,7 +96,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["i"][:n]
 
 
-def text_slices(texts: pa.Array, most: int = 1 << 20, rows: int = 1 << 20):
+def text_slices(texts: pa.Array, most: int = 1 << 18, rows: int = 1 << 20):
     """(first row, bytes, row offsets) of runs of ``rows`` rows at most and about ``most`` bytes; a longer text is a
     run of its own. Null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -29,9 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, materialize, mix, shingles_of, text_slices, words_of
+from .common import counted, materialize, mix, shingles_of, small_batches, text_slices, words_of
 
-#: Bits of a signature, of that of sets over WIDE_FROM, nodes of a chunk, most frequent shingles at most, rows of a
+#: Bits of a signature, of the wide one of sets over WIDE_FROM, nodes of a chunk, most frequent shingles at most, rows of a
 #: tile about, rows of one tile read at once at most.
 BITS, WIDE, WIDE_FROM, CHUNK, HOT, TILE_ROWS, AT_ONCE = 1024, 16_384, 1500, 256, 1 << 19, 20_000, 50_000
 
@@ -50,7 +50,7 @@ def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, node, n, signature), and (shingle, times) of those found twice or more
+    """Rows of two kinds: a document's (doc_id, node, n, signature, wide), and (shingle, times) of those found twice or more
     among the sets of a few thousand documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,12 +63,12 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             held.clear()
             return s[n >= 2], n[n >= 2]
 
-        def rows(ids, keys, sizes, signatures, s, times) -> pa.RecordBatch:
+        def rows(ids, keys, sizes, signatures, wide, s, times) -> pa.RecordBatch:
             a, b = len(keys), len(s)
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([ids, pa.nulls(b, pa.int64())]), pa.array(keys + [None] * b, pa.binary()), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(b, pa.int64())])]
-                + [pa.array(signatures + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
-                names=["doc_id", "node", "n", "signature", "shingle", "times"],
+                + [pa.array(signatures + [None] * b, pa.binary()), pa.array(wide + [None] * b, pa.binary()), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(s.view(np.int64))]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(times.astype(np.int64))])],
+                names=["doc_id", "node", "n", "signature", "wide", "shingle", "times"],
             )
 
         none, seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), set()
@@ -80,10 +80,10 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                         seen.add(k)
                         held.append(s)
                 over = sum(map(len, held)) > 1_500_000
-                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], *(frequent() if over else none))
-        yield rows(pa.nulls(0, pa.int64()), [], [], [], *frequent())
+                yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], [_signature(s, WIDE) if len(s) >= WIDE_FROM else None for s in sets], *(frequent() if over else none))
+        yield rows(pa.nulls(0, pa.int64()), [], [], [], [], *frequent())
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, shingle bigint, times bigint")
+    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, wide binary, shingle bigint, times bigint")
 
 
 def _least(n: int, percent: int) -> int:
@@ -203,9 +203,7 @@ def _shared(prefixes: DataFrame, percent: int, at_once: int) -> DataFrame:
     return ordered.mapInArrow(read, "shingle bigint, salt int, salts int, node binary, n int, place int, hub binary, hub_n int")
 
 
-def _signature(s: np.ndarray) -> bytes:
-    """Parities of the elements by hash; large sets, whose differences would fill a narrow signature, have a wide one."""
-    size = WIDE if len(s) >= WIDE_FROM else BITS
+def _signature(s: np.ndarray, size: int = BITS) -> bytes:
     bits = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -236,42 +234,37 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def _narrow(signatures: list[bytes]) -> np.ndarray:
-    """Signatures as rows of BITS: wide ones are folded."""
-    out = np.zeros((len(signatures), BITS // 64), dtype=np.uint64)
-    for i, x in enumerate(signatures):
-        row = np.frombuffer(x, dtype=np.uint64)
-        out[i] = row if len(x) * 8 == BITS else np.bitwise_xor.reduce(row.reshape(-1, BITS // 64), axis=0)
-    return out
-
-
-def _rows_of_bits(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(narrow rows, signatures, whether they are wide)."""
-    signatures = column.to_pylist()
-    wide = np.array([len(x) * 8 == WIDE for x in signatures], dtype=bool)
-    bits = _narrow(signatures) if wide.any() else np.frombuffer(b"".join(signatures), dtype=np.uint64).reshape(-1, BITS // 64)
-    return bits, signatures, wide
-
-
 def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both."""
+    """The ``pairs`` (a, b) whose bit counts allow enough overlap, with the ids that stand for both. Large sets,
+    whose differences would fill a signature, have a wide one for what passes the first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
-            (sa, xa, wa), (sb, xb, wb) = (_rows_of_bits(batch.column(k)) for k in (3, 6))
-            differing = _differing(sa, sb)
-            if len(both := np.flatnonzero(wa & wb)):
-                x, y = (np.frombuffer(b"".join([z[i] for i in both]), dtype=np.uint64).reshape(-1, WIDE // 64) for z in (xa, xb))
-                differing[both] = _differing(x, y)
-            most = (na + nb - differing) // 2
+            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for k in (3, 6))
+            most = (na + nb - _differing(sa, sb)) // 2
             ok = pa.array((100 * most >= percent * (na + nb - most)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7)], names=["a", "b", "ia", "ib"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 4, 1, 7, 2, 5)], names=["a", "b", "ia", "ib", "na", "nb"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, dtype=bool)
+            both = np.flatnonzero(~(np.asarray(batch.column(4).is_null()) | np.asarray(batch.column(5).is_null())))
+            if len(both):
+                at = pa.array(both)
+                na, nb = (batch.column(k).take(at).to_numpy().astype(np.int64) for k in (6, 7))
+                sa, sb = (np.frombuffer(b"".join(batch.column(k).take(at).to_pylist()), dtype=np.uint64).reshape(-1, WIDE // 64) for k in (4, 5))
+                most = (na + nb - _differing(sa, sb)) // 2
+                ok[both] = 100 * most >= percent * (na + nb - most)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in range(4)], names=["a", "b", "ia", "ib"])
 
     one = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("doc_id").alias("ib"))
     met = pairs.join(one, "a").join(two, "b").select("a", "ia", "na", "sa", "b", "nb", "sb", "ib")
-    return met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint")
+    met = met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint, na bigint, nb bigint")
+    large = nodes.filter("wide is not null").select("node", "wide")
+    met = met.join(large.toDF("a", "wa"), "a", "left").join(large.toDF("b", "wb"), "b", "left").select("a", "b", "ia", "ib", "wa", "wb", "na", "nb")
+    return met.mapInArrow(again, "a binary, b binary, ia bigint, ib bigint")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -318,25 +311,29 @@ def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent:
     aren't both of the shingle's largest component."""
     rows = shared.select("shingle", "salt", "salts", "node", "n", "place").join(component, "node")
     parts = rows.groupBy("shingle", "component").agg(F.count("*").alias("_rows"), F.max("salts").alias("_salts"))
-    open_ = parts.groupBy("shingle").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_rows", "component")).alias("_largest"), F.max("_salts").alias("_salts")).filter("_parts > 1")
-    open_ = open_.select("shingle", "_largest", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
+    largest = F.max_by("component", F.struct("_rows", "component")).alias("_largest")
+    open_ = parts.groupBy("shingle").agg(F.count("*").alias("_parts"), largest, F.max("_salts").alias("_salts"), F.sum("_rows").alias("_all")).filter("_parts > 1")
+    open_ = open_.select("shingle", "_largest", "_all", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
     rows = rows.join(open_, ["shingle", "salt"]).withColumn("large", F.col("component") == F.col("_largest"))
     rows = rows.join(nodes.select("node", "signature"), "node")
+    columns = ["shingle", "node", "n", "place", "component", "signature"]
+    # most tiles are one cell, whatever their chunks would be
+    whole = rows.filter(F.col("_all") <= chunk).select(*columns, F.lit(0).cast("bigint").alias("chunk"), F.lit(0).cast("bigint").alias("other"), F.lit(0).alias("side"))
+    rows = rows.filter(F.col("_all") > chunk)
     number = F.row_number().over(Window.partitionBy("shingle", "salt", "large").orderBy("n", "node"))
     # a chunk's number holds its salt and whether it is of the largest component
     at = F.floor((number - 1) / chunk).cast("bigint") * 2 + F.col("large").cast("bigint")
-    rows = rows.withColumn("chunk", at * F.col("salts") + F.col("salt"))
-    rows = materialize(rows.select("shingle", "node", "n", "place", "component", "signature", "chunk", "large"), "join-open")
+    rows = materialize(rows.withColumn("chunk", at * F.col("salts") + F.col("salt")).select(*columns, "chunk", "large"), "join-open")
     spans = rows.groupBy("shingle", "chunk").agg(F.min("n").alias("_small"), F.max("n").alias("_large"), F.first("large").alias("large"))
     left = spans.filter("not large").select("shingle", "chunk", F.col("_small").alias("_s"), F.col("_large").alias("_l"))
     right = spans.select("shingle", F.col("chunk").alias("other"), F.col("_small").alias("_s2"), F.col("_large").alias("_l2"), F.col("large"))
     touching = (F.col("_s2") * percent <= F.col("_l") * 100) & (F.col("_s") * percent <= F.col("_l2") * 100)
     meet = left.join(right, "shingle").filter(F.col("large") | (F.col("chunk") <= F.col("other"))).filter(touching).select("shingle", "chunk", "other")
-    columns = ["shingle", "chunk", "node", "n", "place", "component", "signature"]
-    first = rows.select(*columns).join(meet, ["shingle", "chunk"]).withColumn("side", F.lit(0))
-    second = rows.select(*columns).join(meet.filter("chunk <> other").withColumnRenamed("chunk", "_c").withColumnRenamed("other", "chunk"), ["shingle", "chunk"])
+    rows = rows.drop("large")
+    first = rows.join(meet, ["shingle", "chunk"]).withColumn("side", F.lit(0))
+    second = rows.join(meet.filter("chunk <> other").withColumnRenamed("chunk", "_c").withColumnRenamed("other", "chunk"), ["shingle", "chunk"])
     second = second.withColumn("other", F.col("chunk")).withColumn("chunk", F.col("_c")).drop("_c").withColumn("side", F.lit(1))
-    cells = first.unionByName(second).repartition("shingle", "chunk", "other").sortWithinPartitions("shingle", "chunk", "other", "n", "node")
+    cells = whole.unionByName(first).unionByName(second).repartition("shingle", "chunk", "other").sortWithinPartitions("shingle", "chunk", "other", "n", "node")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
@@ -358,7 +355,7 @@ def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent:
         t = t.combine_chunks()
         cell, n, place, component, side = keys(t), *[t.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "component", "side")]
         cross = t.column("chunk").to_numpy() != t.column("other").to_numpy()
-        bits = _rows_of_bits(t.column("signature"))[0]
+        bits = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
         node = t.column("node").combine_chunks()
         found = [np.zeros((0, 2), dtype=np.int64)]
         step, at = 1, np.arange(len(cell))
@@ -401,14 +398,19 @@ def _stars(shared: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((c("a") != c("b")) & (c("_s") * 100 >= c("_l") * percent)).select("a", "b").distinct()
 
 
-def _components(docs: DataFrame, words: int, percent: int, tile_rows: int = TILE_ROWS, at_once: int = AT_ONCE, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, words: int, percent: int, **tiles: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n of every document; id and root of those that are linked with a smaller id)."""
+    with small_batches(docs.sparkSession):  # sets of long texts are large rows
+        return _linked(docs, words, percent, **tiles)
+
+
+def _linked(docs: DataFrame, words: int, percent: int, tile_rows: int = TILE_ROWS, at_once: int = AT_ONCE, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     read = materialize(document_sets(docs, words), "join-sets")
     found = read.filter("node is not null").select("doc_id", "node", "n")
     hot, times = _frequent(read)
     shared = materialize(_shared(_tiles(docs.filter("doc_id is not null"), words, percent, hot, times, tile_rows), percent, at_once), "join-shared")
     usable = read.filter("node is not null and doc_id is not null and n > 0")
-    nodes = usable.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    nodes = usable.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
     nodes = materialize(nodes, "join-nodes")
     ids = usable.groupBy("node").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_last")).filter("b <> _last").select("node", "b")
     copies = usable.select("node", F.col("doc_id").alias("a")).join(ids, "node").filter("a <> b").select("a", "b")
@@ -435,12 +437,12 @@ def filter_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """One document of each group of near duplicates: that of the smallest id. Documents without words or id
     are in no group. Of rows that are equal in id and text one stays; rows of one id with different texts all do."""
     _, roots = _components(docs, words, percent)
-    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = roots.select(F.col("id").alias("_join_id"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_join_id"), "left_anti").withColumn("_join_key", key)
-    again = docs.filter("doc_id is not null").select(key.alias("_join_again")).groupBy("_join_again").count().filter("count > 1").select("_join_again")
-    kept = kept.join(again, F.col("_join_key") == F.col("_join_again"), "left")
-    once, more = kept.filter("_join_again is null"), kept.filter("_join_again is not null")
-    number = F.row_number().over(Window.partitionBy("_join_key").orderBy(F.to_json(F.struct(*docs.columns))))
-    more = more.withColumn("_join_number", number).filter("_join_number = 1")
-    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    again = docs.filter("doc_id is not null").groupBy("doc_id", text.alias("_t")).count().filter("count > 1")
+    # one join by id, written before, so that it is broadcast where it is small
+    known = roots.select("id", F.lit(True).alias("_join_gone")).unionByName(again.select(F.col("doc_id").alias("id"), F.lit(False).alias("_join_gone")))
+    known = materialize(known.groupBy(F.col("id").alias("_join_id")).agg(F.max("_join_gone").alias("_join_gone")), "join-known")
+    kept = docs.join(known, F.col("doc_id") == F.col("_join_id"), "left").filter("_join_gone is null or not _join_gone")
+    number = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.to_json(F.struct(*docs.columns))))
+    more = kept.filter("_join_id is not null").withColumn("_join_number", number).filter("_join_number = 1")
+    return kept.filter("_join_id is null").select(*docs.columns).unionByName(more.select(*docs.columns))
