@@ -1,4 +1,4 @@
-"""Angles of strokes as columns and as numpy functions. The y axis points down: bin 2 is downward."""
+"""Angles of strokes as columns. The y axis points down: bin 2 is downward."""
 
 from __future__ import annotations
 
@@ -7,13 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BINS = 8
-#: Multiples of 45 degrees belong to the bin they open, whatever rounding makes of them.
-_SLACK = 1e-9
 
 
 def direction_bin(angle: Column) -> Column:
     """Bin 0..7 of an angle, by floor."""
-    return F.pmod(F.floor(F.pmod(angle, F.lit(2 * np.pi)) * BINS / (2 * np.pi) + _SLACK), F.lit(BINS)).cast("int")
+    return F.pmod(F.floor(F.pmod(angle, F.lit(2 * np.pi)) * BINS / F.lit(2 * np.pi)), F.lit(BINS)).cast("int")
 
 
 def wrapped(angle: Column) -> Column:
@@ -23,4 +21,4 @@ def wrapped(angle: Column) -> Column:
 
 def turn_bin(turn: Column) -> Column:
     """Bin 0..7 of a wrapped turn between -pi and pi."""
-    return F.pmod(F.floor((turn + np.pi) * BINS / (2 * np.pi) + _SLACK), F.lit(BINS)).cast("int")
+    return F.pmod(F.floor((turn + np.pi) * BINS / F.lit(2 * np.pi)), F.lit(BINS)).cast("int")

@@ -1,46 +1,54 @@
 """Structural features: each image is thinned once; its paths give strokes, transitions and curvature.
 
-One Arrow pass per image batch runs the small numpy kernels; histograms over the paths' steps are DataFrame
-operations on the exploded paths or arrays."""
+One Arrow pass per image batch runs the small numpy kernels, thinning all images of the batch at once; histograms over
+the paths' steps are column expressions on the row's own paths, so nothing is shuffled."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurelab.functions.geometry import BINS, direction_bin, turn_bin, wrapped
 
 SIDE = 28
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
-SHAPE = "image_id bigint, components int, holes int, endpoints int, junctions int, paths array<array<struct<r:int,c:int>>>"
+SHAPE = "components int, holes int, endpoints int, junctions int, paths array<array<struct<r:int,c:int>>>"
 
 
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Zhang-Suen thinning: two alternating passes remove border pixels until nothing changes; then corners go
-    whose only neighbours, one across and one down, touch each other diagonally."""
-    m = np.pad(mask.astype(np.uint8), 1)
-    while True:
-        removed = 0
+def thin(masks: np.ndarray) -> np.ndarray:
+    """Zhang-Suen thinning of one image or of a stack of them: two alternating passes remove border pixels until
+    nothing changes; then corners go whose only neighbours, one across and one down, touch each other diagonally."""
+    m = np.pad(masks.reshape(-1, *masks.shape[-2:]).astype(np.uint8), ((0, 0), (1, 1), (1, 1)))
+    live = np.arange(len(m))  # images that the last round has changed
+    while len(live):
+        work, removed = m[live], np.zeros(len(live), dtype=np.int64)
         for second in (False, True):
-            p = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]
-            count = sum(x.astype(int) for x in p)
+            p = [work[:, :-2, 1:-1], work[:, :-2, 2:], work[:, 1:-1, 2:], work[:, 2:, 2:], work[:, 2:, 1:-1], work[:, 2:, :-2], work[:, 1:-1, :-2], work[:, :-2, :-2]]
+            count = sum(p)
             changes = sum((p[k] == 0) & (p[(k + 1) % 8] == 1) for k in range(8))
             north, east, south, west = p[0], p[2], p[4], p[6]
             sides = (north * east * west == 0) & (north * south * west == 0) if second else (north * east * south == 0) & (east * south * west == 0)
-            gone = (m[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (changes == 1) & sides
-            removed += int(gone.sum())
-            m[1:-1, 1:-1][gone] = 0
-        if not removed:
-            break
-    for r, c in np.argwhere(m).tolist():
-        near = [(a, b) for a, b in _AROUND if m[r + a, c + b]]
+            gone = (work[:, 1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (changes == 1) & sides
+            removed += gone.sum(axis=(1, 2))
+            work[:, 1:-1, 1:-1][gone] = 0
+        m[live] = work
+        live = live[removed > 0]
+    for k, r, c in np.argwhere(m).tolist():
+        near = [(a, b) for a, b in _AROUND if m[k, r + a, c + b]]
         if len(near) == 2 and sorted(abs(a) for a, _ in near) == [0, 1] and sorted(abs(b) for _, b in near) == [0, 1]:
-            m[r, c] = 0
-    return m[1:-1, 1:-1].astype(bool)
+            m[k, r, c] = 0
+    return m[:, 1:-1, 1:-1].astype(bool).reshape(masks.shape)
+
+
+def skeleton(image: np.ndarray, threshold: float = 0.5) -> np.ndarray:
+    """The thinned pixels of at least ``threshold``, which is finite and between 0 and 1, both included."""
+    if isinstance(threshold, bool) or not 0 <= threshold <= 1:
+        raise ValueError("threshold must be finite and between 0 and 1")
+    if image.ndim != 2:
+        raise ValueError("an image has two dimensions")
+    return thin(image >= threshold)
 
 
 def regions(mask: np.ndarray, diagonal: bool) -> list[set[tuple[int, int]]]:
@@ -70,6 +78,8 @@ Pixel = tuple[int, int]
 
 def pixel_graph(skeleton: np.ndarray) -> dict[Pixel, set[Pixel]]:
     """Neighbours of each skeleton pixel; a diagonal counts only if both pixels at its corner are off."""
+    if skeleton.ndim != 2:
+        raise ValueError("a skeleton has two dimensions")
     on = set(map(tuple, np.argwhere(skeleton).tolist()))
     return {(r, c): {(r + a, c + b) for a, b in _AROUND if (r + a, c + b) in on and not (a and b and ((r + a, c) in on or (r, c + b) in on))} for r, c in on}
 
@@ -129,91 +139,115 @@ def graph_paths(skeleton_graph: dict[Pixel, set[Pixel]]) -> list[list[Pixel]]:
     return sorted(out)
 
 
+def shape_of(pixels: Column, threshold: float = 0.5) -> Column:
+    """A struct: topology at ``threshold`` and the paths of the skeleton, which is always taken at 0.5."""
+
+    @F.pandas_udf(SHAPE)
+    def read(values: pd.Series) -> pd.DataFrame:
+        a = np.stack([np.asarray(p, dtype=float).reshape(SIDE, SIDE) for p in values]) if len(values) else np.zeros((0, SIDE, SIDE))
+        masks, thinned = a >= threshold, thin(a >= 0.5)
+        owned = thinned if threshold == 0.5 else thin(masks)
+        rows = []
+        for mask, skeleton, own in zip(masks, thinned, owned):
+            graph = pixel_graph(skeleton)
+            other = graph if threshold == 0.5 else pixel_graph(own)
+            paths = [[{"r": r, "c": c} for r, c in p] for p in graph_paths(graph)]
+            rows.append((len(regions(mask, diagonal=True)), hole_count(mask), len(endpoints(other)), len(junction_clusters(other)), paths))
+        return pd.DataFrame(rows, columns=["components", "holes", "endpoints", "junctions", "paths"])
+
+    return read(pixels)
+
+
 def shapes(images: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Topology at ``threshold`` and the paths of the skeleton, which is always taken at 0.5."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for image_id, pixels in zip(f["image_id"], f["pixels"]):
-                a = np.asarray(pixels).reshape(SIDE, SIDE)
-                mask, graph = a >= threshold, pixel_graph(thin(a >= 0.5))
-                own = graph if threshold == 0.5 else pixel_graph(thin(mask))
-                paths = [[{"r": r, "c": c} for r, c in p] for p in graph_paths(graph)]
-                rows.append((image_id, len(regions(mask, diagonal=True)), hole_count(mask), len(endpoints(own)), len(junction_clusters(own)), paths))
-            yield pd.DataFrame(rows, columns=["image_id", "components", "holes", "endpoints", "junctions", "paths"])
-
-    return images.select("image_id", "pixels").mapInPandas(read, SHAPE)
-
-
-def _steps(shape: DataFrame) -> DataFrame:
-    """(image_id, path, angles, closed) of every path."""
-    p = shape.select("image_id", F.posexplode("paths").alias("path", "points"))
-    points = F.col("points")
-    angles = F.transform(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda q, i: F.atan2((q["r"] - F.get(points, i)["r"]).cast("double"), (q["c"] - F.get(points, i)["c"]).cast("double")))
+    """(image_id, components, holes, endpoints, junctions, paths) of every image."""
+    return images.select("image_id", shape_of(F.col("pixels"), threshold).alias("_s")).select("image_id", "_s.*")
+
+
+def topology(shape: Column) -> Column:
+    return F.array(*[shape[c].cast("double") for c in ("components", "holes", "endpoints", "junctions")])
+
+
+def _angles(points: Column) -> Column:
+    """Angles of a path's steps."""
+    steps = F.transform(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda q, i: F.atan2((q["r"] - F.get(points, i)["r"]).cast("double"), (q["c"] - F.get(points, i)["c"]).cast("double")))
+    return F.when(F.size(points) > 1, steps).otherwise(F.array().cast("array<double>"))
+
+
+def _pairs(points: Column) -> Column:
+    """(a, b) of a path: angles of steps in succession, round the end of a closed path too."""
+    angles = _angles(points)
     closed = (F.size(points) > 2) & (F.get(points, 0) == F.element_at(points, -1))
-    return p.select("image_id", "path", F.when(F.size(points) > 1, angles).otherwise(F.array().cast("array<double>")).alias("angles"), closed.alias("closed"))
+    around = F.when(closed & (F.size(angles) > 1), F.concat(angles, F.slice(angles, 1, 1))).otherwise(angles)
+    return F.transform(F.slice(around, 2, F.greatest(F.size(around) - 1, F.lit(0))), lambda b, i: F.struct(F.get(around, i).alias("a"), b.alias("b")))
 
 
-def _histogram(shape: DataFrame, bins: DataFrame, size: int) -> DataFrame:
-    """(image_id, bin, share) for every image and bin; zeros where an image has none."""
-    counts = bins.groupBy("image_id", "bin").agg(F.count("*").alias("n"))
-    grid = shape.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("bin"))
-    total = counts.groupBy("image_id").agg(F.sum("n").alias("total"))
-    return grid.join(counts, ["image_id", "bin"], "left").join(total, "image_id", "left").select("image_id", "bin", (F.coalesce(F.col("n") / F.col("total"), F.lit(0.0))).alias("share"))
+def _histogram(bins: Column, size: int) -> Column:
+    """Shares of the bins 0 to ``size`` - 1 in an array of pairs of bins; zeros if it is empty."""
+    flat = F.flatten(bins)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(F.size(flat) > 0, F.size(F.filter(flat, lambda x: x == k)) / F.size(flat)).otherwise(0.0))
 
 
-def stroke_direction(shape: DataFrame) -> DataFrame:
+def direction_histogram(paths: Column) -> Column:
     """Shares of 8 directions; every step counts both ways."""
-    s = _steps(shape).select("image_id", F.explode("angles").alias("a")).select("image_id", direction_bin(F.col("a")).alias("b"))
-    return _histogram(shape, s.select("image_id", F.explode(F.array(F.col("b"), (F.col("b") + 4) % BINS)).alias("bin")), BINS)
+    bins = F.transform(F.flatten(F.transform(paths, _angles)), direction_bin)
+    return _histogram(F.transform(bins, lambda b: F.array(b, (b + 4) % BINS)), BINS)
 
 
-def _pairs(shape: DataFrame) -> DataFrame:
-    """(image_id, a, b): angles of steps in succession, round the end of closed paths too."""
-    s = _steps(shape).filter(F.size("angles") > 1)
-    angles = F.col("angles")
-    around = F.when(F.col("closed"), F.concat(angles, F.slice(angles, 1, 1))).otherwise(angles)
-    s = s.withColumn("angles", around)
-    pair = F.transform(F.slice("angles", 2, F.size("angles") - 1), lambda b, i: F.struct(F.get(F.col("angles"), i).alias("a"), b.alias("b")))
-    return s.select("image_id", F.explode(pair).alias("p")).select("image_id", "p.a", "p.b")
+def transition_histogram(paths: Column) -> Column:
+    """Shares of 64 pairs of directions in succession; every pair counts both ways."""
+    both = F.transform(F.flatten(F.transform(paths, _pairs)), lambda p: F.struct(direction_bin(p["a"]).alias("a"), direction_bin(p["b"]).alias("b")))
+    return _histogram(F.transform(both, lambda p: F.array(p["a"] * BINS + p["b"], (p["b"] + 4) % BINS * BINS + (p["a"] + 4) % BINS)), BINS * BINS)
+
+
+def curvature_histogram(paths: Column) -> Column:
+    """Shares of 8 turns; every turn counts both ways."""
+    turns = F.transform(F.flatten(F.transform(paths, _pairs)), lambda p: wrapped(p["b"] - p["a"]))
+    return _histogram(F.transform(turns, lambda t: F.array(turn_bin(t), turn_bin(-t))), BINS)
+
+
+def _long(shape: DataFrame, histogram: Column) -> DataFrame:
+    """(image_id, bin, share)."""
+    return shape.select("image_id", F.posexplode(histogram).alias("bin", "share"))
+
+
+def stroke_direction(shape: DataFrame) -> DataFrame:
+    return _long(shape, direction_histogram(F.col("paths")))
 
 
 def direction_transition(shape: DataFrame) -> DataFrame:
-    """Shares of 64 pairs of directions in succession; every pair counts both ways."""
-    p = _pairs(shape).select("image_id", direction_bin(F.col("a")).alias("a"), direction_bin(F.col("b")).alias("b"))
-    both = F.array(F.col("a") * BINS + F.col("b"), (F.col("b") + 4) % BINS * BINS + (F.col("a") + 4) % BINS)
-    return _histogram(shape, p.select("image_id", F.explode(both).alias("bin")), BINS * BINS)
+    return _long(shape, transition_histogram(F.col("paths")))
 
 
 def curvature(shape: DataFrame) -> DataFrame:
-    """Shares of 8 turns; every turn counts both ways."""
-    p = _pairs(shape).select("image_id", wrapped(F.col("b") - F.col("a")).alias("t"))
-    both = F.array(turn_bin(F.col("t")), turn_bin(-F.col("t")))
-    return _histogram(shape, p.select("image_id", F.explode(both).alias("bin")), BINS)
+    return _long(shape, curvature_histogram(F.col("paths")))
 
 
-def hog(images: DataFrame, orientations: int = 9, cell: int = 4, block: int = 2) -> DataFrame:
-    """Histogram of oriented gradients (image_id, features): central differences with zero borders, unsigned
-    orientations, cell means, L2-Hys blocks."""
+def hog_of(pixels: Column, orientations: int = 9, cell: int = 4, block: int = 2) -> Column:
+    """Histogram of oriented gradients: central differences with zero borders, unsigned orientations, cell means,
+    L2-Hys blocks."""
     if min(orientations, cell, block) < 1:
         raise ValueError("orientations, cell and block must be positive")
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            a = np.stack([np.asarray(p, dtype=float).reshape(SIDE, SIDE) for p in f["pixels"]]) if len(f) else np.zeros((0, SIDE, SIDE))
-            gr, gc = np.zeros_like(a), np.zeros_like(a)
-            gr[:, 1:-1] = a[:, 2:] - a[:, :-2]
-            gc[:, :, 1:-1] = a[:, :, 2:] - a[:, :, :-2]
-            size, angle = np.hypot(gr, gc), np.rad2deg(np.arctan2(gr, gc)) % 180
-            n = SIDE // cell
-            bins = np.minimum((angle / (180 / orientations)).astype(int), orientations - 1)
-            cells = np.stack([np.where(bins == k, size, 0)[:, : n * cell, : n * cell].reshape(-1, n, cell, n, cell).mean(axis=(2, 4)) for k in range(orientations)], axis=-1)
-            m = n - block + 1
-            out = np.stack([cells[:, r : r + block, c : c + block].reshape(len(a), -1) for r in range(m) for c in range(m)], axis=1) if len(a) else np.zeros((0, m * m, block * block * orientations))
-            eps = 1e-5
-            out = np.minimum(out / np.sqrt((out**2).sum(-1, keepdims=True) + eps**2), 0.2)
-            out /= np.sqrt((out**2).sum(-1, keepdims=True) + eps**2)
-            yield pd.DataFrame({"image_id": f["image_id"], "features": list(out.reshape(len(a), -1))})
-
-    return images.select("image_id", "pixels").mapInPandas(read, "image_id bigint, features array<double>")
+    @F.pandas_udf("array<double>")
+    def read(values: pd.Series) -> pd.Series:
+        a = np.stack([np.asarray(p, dtype=float).reshape(SIDE, SIDE) for p in values]) if len(values) else np.zeros((0, SIDE, SIDE))
+        gr, gc = np.zeros_like(a), np.zeros_like(a)
+        gr[:, 1:-1] = a[:, 2:] - a[:, :-2]
+        gc[:, :, 1:-1] = a[:, :, 2:] - a[:, :, :-2]
+        size, angle = np.hypot(gr, gc), np.rad2deg(np.arctan2(gr, gc)) % 180
+        n = SIDE // cell
+        bins = np.minimum((angle / (180 / orientations)).astype(int), orientations - 1)
+        cells = np.stack([np.where(bins == k, size, 0)[:, : n * cell, : n * cell].reshape(-1, n, cell, n, cell).mean(axis=(2, 4)) for k in range(orientations)], axis=-1)
+        m = n - block + 1
+        out = np.stack([cells[:, r : r + block, c : c + block].reshape(len(a), -1) for r in range(m) for c in range(m)], axis=1) if len(a) else np.zeros((0, m * m, block * block * orientations))
+        eps = 1e-5
+        out = np.minimum(out / np.sqrt((out**2).sum(-1, keepdims=True) + eps**2), 0.2)
+        out /= np.sqrt((out**2).sum(-1, keepdims=True) + eps**2)
+        return pd.Series(list(out.reshape(len(a), -1)))
+
+    return read(pixels)
+
+
+def hog(images: DataFrame, orientations: int = 9, cell: int = 4, block: int = 2) -> DataFrame:
+    """(image_id, features) of every image."""
+    return images.select("image_id", hog_of(F.col("pixels"), orientations, cell, block).alias("features"))

@@ -90,13 +90,13 @@ class RepresentationSpec:
 _COLUMNS: dict[str, tuple[int, Callable[[Column], Column]]] = {"raw_pixels": (784, pixels.raw_pixels), "spatial": (3, pixels.spatial), "symmetry": (2, pixels.symmetry)}
 _CONTROLS = {"downsampled": (196, pixels.downsampled)}
 _CONTROL_HOG = ("hog", 1296)
-_HISTOGRAMS = {"stroke_direction": (8, shape.stroke_direction), "direction_transition": (64, shape.direction_transition), "curvature": (8, shape.curvature)}
+_HISTOGRAMS = {"stroke_direction": (8, shape.direction_histogram), "direction_transition": (64, shape.transition_histogram), "curvature": (8, shape.curvature_histogram)}
 
 
 class FeaturePipeline:
     """Operators in order; ``transform`` adds ``features``, their values one after another.
 
-    All structural operators of a threshold read one pass over the images."""
+    All structural operators of a threshold share one Arrow pass over the images; nothing is shuffled."""
 
     def __init__(self, operators: Sequence[OperatorSpec], controls: bool = False):
         self._operators = list(operators)
@@ -119,26 +119,22 @@ class FeaturePipeline:
 
     def transform(self, images: DataFrame) -> DataFrame:
         df = images.withColumn("pixels", pixels.checked(F.col("pixels")))
-        passes: dict[float, DataFrame] = {}
+        passes: dict[float, str] = {}
         parts: list[Column] = []
-        for at, o in enumerate(self._operators):
+        for o in self._operators:
             if o.name in self._known:
                 parts.append(self._known[o.name][1](F.col("pixels")))
                 continue
             if o.name == _CONTROL_HOG[0]:
-                new = shape.hog(df).select(F.col("image_id").alias("_id"), F.col("features").alias(f"_f{at}"))
-                df = df.join(new, F.col("image_id") == F.col("_id")).drop("_id")
-                parts.append(F.col(f"_f{at}"))
+                df = df.withColumn("_hog", shape.hog_of(F.col("pixels")))
+                parts.append(F.col("_hog"))
                 continue
             t = float(o.params.get("threshold", 0.5))
-            found = passes.setdefault(t, shape.shapes(df, t))
-            if o.name == "topology":
-                new = found.select(F.col("image_id").alias("_id"), F.array(*[F.col(c).cast("double") for c in ("components", "holes", "endpoints", "junctions")]).alias(f"_f{at}"))
-            else:
-                long = _HISTOGRAMS[o.name][1](found)
-                new = long.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"]).alias(f"_f{at}")).withColumnRenamed("image_id", "_id")
-            df = df.join(new, F.col("image_id") == F.col("_id")).drop("_id")
-            parts.append(F.col(f"_f{at}"))
+            if t not in passes:
+                passes[t] = f"_shape{len(passes)}"
+                df = df.withColumn(passes[t], shape.shape_of(F.col("pixels"), t))
+            found = F.col(passes[t])
+            parts.append(shape.topology(found) if o.name == "topology" else _HISTOGRAMS[o.name][1](found["paths"]))
         features = F.concat(*parts)
         sound = (F.size(features) == self.feature_dim) & ~F.exists(features, lambda x: F.isnan(x) | x.isNull())
         return df.select(*images.columns, F.when(sound, features).otherwise(F.raise_error(F.lit("features must be finite and of the declared size"))).alias("features"))
