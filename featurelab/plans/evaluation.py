@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from math import log1p
 from time import perf_counter
 
@@ -27,6 +28,17 @@ def _timed(df: DataFrame) -> tuple[DataFrame, float]:
     return df, (perf_counter() - began) * 1000
 
 
+@contextmanager
+def held() -> Iterator[list[DataFrame]]:
+    """A list whose frames are released at the end, also after an error."""
+    frames: list[DataFrame] = []
+    try:
+        yield frames
+    finally:
+        for df in frames:
+            df.unpersist()
+
+
 class Evaluator:
     """Holds images with labels; the split depends on the seed alone. Features are extracted of the rows that are
     needed only, those of the validation rows once per spec."""

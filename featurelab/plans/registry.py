@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.operators import archive, learning, pixels, sampling, shape
-from featurelab.sources import glyphs, records as rec
+from featurelab.operators import archive, learning, pixels, reports, responses, sampling, shape
+from featurelab.sources import glyphs, loaders, records as rec
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -96,29 +96,99 @@ def topology_components_holes(spark, sf_dir):
     return shape.shapes(glyphs.images(spark, sf_dir)).select("image_id", "components", "holes")
 
 
-@_query()
+#: What the thinned glyphs of each label have, whatever their place: ends and junctions, then counts of bins.
+_ENDS = ((0, 0), (2, 0), (2, 0), (3, 1), (3, 1), (2, 0), (1, 1), (2, 0), (0, 2), (1, 1))
+_DIRECTIONS = (
+    {0: 13, 1: 2, 2: 33, 3: 1, 4: 13, 5: 2, 6: 33, 7: 1},
+    {2: 1, 6: 1},
+    {0: 20, 1: 2, 2: 15, 3: 1, 4: 20, 5: 2, 6: 15, 7: 1},
+    {0: 19, 1: 1, 2: 16, 3: 1, 4: 19, 5: 1, 6: 16, 7: 1},
+    {0: 7, 1: 1, 2: 24, 4: 7, 5: 1, 6: 24},
+    {0: 20, 1: 2, 2: 15, 3: 1, 4: 20, 5: 2, 6: 15, 7: 1},
+    {0: 21, 1: 2, 2: 24, 3: 1, 4: 21, 5: 2, 6: 24, 7: 1},
+    {0: 6, 1: 1, 2: 17, 4: 6, 5: 1, 6: 17},
+    {0: 21, 1: 2, 2: 33, 3: 1, 4: 21, 5: 2, 6: 33, 7: 1},
+    {0: 20, 1: 2, 2: 24, 3: 1, 4: 20, 5: 2, 6: 24, 7: 1},
+)
+_TURNS = (
+    {2: 3, 3: 6, 4: 80, 5: 6, 6: 3},
+    {4: 1},
+    {2: 3, 3: 6, 4: 56, 5: 6, 6: 3},
+    {3: 1, 4: 15, 5: 1},
+    {3: 1, 4: 27, 5: 1},
+    {2: 3, 3: 6, 4: 56, 5: 6, 6: 3},
+    {2: 2, 3: 3, 4: 37, 5: 3, 6: 2},
+    {3: 1, 4: 21, 5: 1},
+    {2: 1, 3: 2, 4: 30, 5: 2, 6: 1},
+    {2: 5, 3: 5, 4: 72, 5: 6, 6: 4},
+)
+_TRANSITIONS = (
+    {0: 10, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 30, 19: 1, 20: 1, 28: 1, 34: 2, 36: 10, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 30, 62: 1},
+    {18: 1, 54: 1},
+    {0: 16, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 12, 19: 1, 20: 1, 28: 1, 34: 2, 36: 16, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 12, 62: 1},
+    {0: 16, 1: 1, 7: 1, 10: 1, 18: 14, 19: 1, 28: 1, 36: 16, 44: 1, 53: 1, 54: 14, 62: 1},
+    {0: 6, 8: 1, 17: 1, 18: 21, 36: 6, 37: 1, 46: 1, 54: 21},
+    {0: 16, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 12, 19: 1, 20: 1, 28: 1, 34: 2, 36: 16, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 12, 62: 1},
+    {0: 17, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 20, 19: 1, 20: 1, 28: 1, 34: 3, 36: 17, 37: 1, 44: 1, 46: 1, 48: 3, 53: 1, 54: 20, 62: 1},
+    {0: 5, 1: 1, 10: 1, 18: 16, 36: 5, 44: 1, 53: 1, 54: 16},
+    {0: 17, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 28, 19: 1, 20: 1, 28: 1, 34: 2, 36: 17, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 28, 62: 1},
+    {0: 16, 1: 1, 6: 2, 7: 1, 8: 1, 10: 1, 17: 1, 18: 20, 19: 1, 20: 2, 28: 1, 34: 2, 36: 16, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 20, 62: 1},
+)
+
+
+def _shares_sql(counts: tuple, size: int) -> str:
+    rows = ", ".join(f"({label}, {k}, {n})" for label, bins in enumerate(counts) for k, n in bins.items())
+    return f"""WITH f(label, bin, n) AS (VALUES {rows}), t AS (SELECT label, sum(n) AS total FROM f GROUP BY label)
+SELECT e.vec_id AS image_id, CAST(b.bin AS INTEGER) AS bin, round(coalesce(f.n, 0)::DOUBLE / t.total::DOUBLE, 6) AS share
+FROM embeddings e JOIN t USING (label) CROSS JOIN (SELECT unnest(range({size})) AS bin) b LEFT JOIN f ON f.label = e.label AND f.bin = b.bin"""
+
+
+def _rounded(long: DataFrame) -> DataFrame:
+    return long.select("image_id", "bin", F.round("share", 6).alias("share"))
+
+
+@_query(f"WITH f(label, endpoints, junctions) AS (VALUES {', '.join(f'({k}, {e}, {j})' for k, (e, j) in enumerate(_ENDS))}) SELECT vec_id AS image_id, CAST(endpoints AS INTEGER) AS endpoints, CAST(junctions AS INTEGER) AS junctions FROM embeddings JOIN f USING (label)")
 def topology_endpoints_junctions(spark, sf_dir):
     return shape.shapes(glyphs.images(spark, sf_dir)).select("image_id", "endpoints", "junctions")
 
 
-@_query()
+@_query(_shares_sql(_DIRECTIONS, 8))
 def stroke_direction(spark, sf_dir):
-    return shape.stroke_direction(shape.shapes(glyphs.images(spark, sf_dir)))
+    return _rounded(shape.stroke_direction(shape.shapes(glyphs.images(spark, sf_dir))))
 
 
-@_query()
+@_query(_shares_sql(_TRANSITIONS, 64))
 def direction_transition(spark, sf_dir):
-    return shape.direction_transition(shape.shapes(glyphs.images(spark, sf_dir)))
+    return _rounded(shape.direction_transition(shape.shapes(glyphs.images(spark, sf_dir))))
 
 
-@_query()
+@_query(_shares_sql(_TURNS, 8))
 def curvature(spark, sf_dir):
-    return shape.curvature(shape.shapes(glyphs.images(spark, sf_dir)))
+    return _rounded(shape.curvature(shape.shapes(glyphs.images(spark, sf_dir))))
 
 
-@_query()
+_HOG_SQL = _PX + """, d AS (SELECT image_id, r, c, CASE WHEN r BETWEEN 1 AND 26 THEN lead(v) OVER down - lag(v) OVER down ELSE 0 END AS gr, CASE WHEN c BETWEEN 1 AND 26 THEN lead(v) OVER along - lag(v) OVER along ELSE 0 END AS gc
+  FROM px WINDOW down AS (PARTITION BY image_id, c ORDER BY r), along AS (PARTITION BY image_id, r ORDER BY c)),
+a AS (SELECT *, sqrt(gr * gr + gc * gc) AS size, degrees(atan2(gr, gc)) AS w FROM d),
+b AS (SELECT image_id, r // 4 AS y, c // 4 AS x, size, least(8, CAST(floor(CASE WHEN w < 0 THEN w + 180 WHEN w >= 180 THEN w - 180 ELSE w END / 20) AS INTEGER)) AS o FROM a),
+grid AS (SELECT vec_id AS image_id, y, x, o FROM embeddings, (SELECT unnest(range(7)) AS y), (SELECT unnest(range(7)) AS x), (SELECT unnest(range(9)) AS o)),
+cells AS (SELECT g.image_id, g.y, g.x, g.o, coalesce(s.v, 0) AS v FROM grid g LEFT JOIN (SELECT image_id, y, x, o, sum(size) / 16 AS v FROM b GROUP BY ALL) s USING (image_id, y, x, o)),
+blocks AS (SELECT image_id, p, q, (y - p) * 18 + (x - q) * 9 + o AS e, v FROM cells, (SELECT unnest(range(6)) AS p), (SELECT unnest(range(6)) AS q) WHERE y - p IN (0, 1) AND x - q IN (0, 1)),
+once AS (SELECT *, least(v / sqrt(sum(v * v) OVER (PARTITION BY image_id, p, q) + 1e-10), 0.2) AS w FROM blocks)
+SELECT image_id, CAST((p * 6 + q) * 36 + e AS INTEGER) AS pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY image_id, p, q) + 1e-10), 5) AS v FROM once"""
+
+
+@_query(_HOG_SQL)
 def hog_descriptor(spark, sf_dir):
-    return shape.hog(glyphs.images(spark, sf_dir))
+    return shape.hog(glyphs.images(spark, sf_dir)).select("image_id", F.posexplode("features").alias("pos", "v")).select("image_id", "pos", F.round("v", 5).alias("v"))
+
+
+@_query(_PX + " SELECT image_id, CAST(label AS INTEGER) AS label, round(sum(v), 5) AS ink FROM px GROUP BY image_id, label")
+def raw_scan(spark, sf_dir):
+    n = _table(spark, sf_dir, "embeddings").count()
+    raw = glyphs.images(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: F.round(v * 255).cast("int")))
+    images = loaders.scan(raw, loaders.DataConfig(validation=50, train_rows=n * 6 // 7, test_rows=n - n * 6 // 7))
+    return images.select("image_id", "label", F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x), 5).alias("ink"))
 
 
 # ---------------------------------------------------------------- samples and learning
@@ -142,6 +212,22 @@ def stratified_split(spark, sf_dir):
     return sampling.stratified_sample(rows, 100, 42).withColumnRenamed("chosen", "validation")
 
 
+def _rows_and_config(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    n = rows.count()
+    return rows, loaders.DataConfig(validation=50, train_rows=n * 6 // 7, test_rows=n - n * 6 // 7)
+
+
+@_query("WITH seen AS (SELECT * FROM embeddings WHERE vec_id < (SELECT count(*) * 6 // 7 FROM embeddings)), " + _split_sql(50, 42, "v").replace("FROM embeddings", "FROM seen").replace("WITH q", "q", 1).replace(f"SELECT vec_id AS image_id, label, row_number()", "SELECT vec_id AS image_id, label, CASE WHEN row_number()", 1).replace("<= quota AS v", "<= quota THEN 'validation' ELSE 'train' END AS split"))
+def search_rows(spark, sf_dir):
+    return loaders.search_rows(*_rows_and_config(spark, sf_dir))
+
+
+@_query("SELECT vec_id AS image_id, label, CASE WHEN vec_id < (SELECT count(*) * 6 // 7 FROM embeddings) THEN 'train' ELSE 'test' END AS split FROM embeddings")
+def final_rows(spark, sf_dir):
+    return loaders.final_rows(*_rows_and_config(spark, sf_dir))
+
+
 @_query(f"SELECT image_id, label FROM ({_split_sql(300, 11, 'chosen')}) WHERE chosen")
 def stratified_subset(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
@@ -192,6 +278,25 @@ def baseline_sweep(spark, sf_dir):
     return raw.unionByName(downsampled).unionByName(hog)
 
 
+@_query()
+def seed_sweep(spark, sf_dir):
+    from featurelab.plans.compiler import seed_specs
+    from featurelab.plans.runs import seed_sweep as sweep
+
+    return sweep(glyphs.images(spark, sf_dir), seed_specs()[1:], validation=100, sizes=(50, 100))
+
+
+@_query()
+def runs_grid(spark, sf_dir):
+    from featurelab.plans import runs
+    from featurelab.plans.compiler import OperatorSpec
+
+    images = glyphs.images(spark, sf_dir)
+    split = loaders.final_rows(images, _rows_and_config(spark, sf_dir)[1])
+    train, test = (split.filter(F.col("split") == k).drop("split") for k in ("train", "test"))
+    return runs.runs_grid(train, test, [("layout", "finalist", [OperatorSpec("spatial"), OperatorSpec("symmetry")])], (50, 100), (11, 23))
+
+
 _P1 = rec.predictions_sql("p", 1)
 _CELLS = """cells AS (SELECT CAST(a AS INTEGER) AS actual, CAST(b AS INTEGER) AS predicted, coalesce(n, 0) AS n FROM (SELECT unnest(range(10)) AS a), (SELECT unnest(range(10)) AS b)
   LEFT JOIN (SELECT label, predicted AS pr, count(*) AS n FROM {p} GROUP BY ALL) ON a = label AND b = pr)"""
@@ -390,3 +495,109 @@ def token_usage_summary(spark, sf_dir):
 def response_json_guard(spark, sf_dir):
     keys = F.json_object_keys("props")
     return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), (keys == F.array(F.lit("k"))).alias("strict"))
+
+
+_REPORT = "WITH " + rec.REPORT_SQL
+
+
+def _report(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return rec.report_results(spark, sf_dir), rec.report_runs(spark, sf_dir)
+
+
+def _round_means(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("accuracy_mean", "accuracy_std") if c in df.columns})
+
+
+@_query(_REPORT + " SELECT key, CAST(ord AS INTEGER) AS ord, name, kind, feature_dim, feature_ms FROM u")
+def unique_results(spark, sf_dir):
+    return reports.unique(rec.report_results(spark, sf_dir))
+
+
+@_query(_REPORT + " SELECT name, kind, size, accuracy_mean, accuracy_std FROM u JOIN z USING (ord)")
+def learning_curve(spark, sf_dir):
+    return _round_means(reports.learning_curve(*_report(spark, sf_dir)))
+
+
+@_query(_REPORT + " SELECT name, kind, feature_dim, accuracy_mean, accuracy_std FROM u JOIN z USING (ord) WHERE size = 500")
+def dimension_vs_accuracy(spark, sf_dir):
+    return _round_means(reports.dimension_and_accuracy(*_report(spark, sf_dir)))
+
+
+@_query(_REPORT + " SELECT name, kind, round((feature_ms + training_ms + inference_ms) / 1000, 6) AS seconds, accuracy_mean FROM u JOIN z USING (ord) WHERE size = 500")
+def seconds_vs_accuracy(spark, sf_dir):
+    return _round_means(reports.runtime_and_accuracy(*_report(spark, sf_dir))).withColumn("seconds", F.round("seconds", 6))
+
+
+@_query(_DELTA + """ , x AS (SELECT d.candidate_id, 'G' || r.generation || ' −' || d.removed_operator || ' · ' || substr(d.candidate_id, 1, 6) AS label, round(d.delta * 100, 4) AS points, d.delta > 0 AS useful FROM d JOIN records r USING (candidate_id))
+SELECT *, row_number() OVER (ORDER BY points, candidate_id) AS place FROM x""")
+def ablation_contributions(spark, sf_dir):
+    r = rec.search_records(spark, sf_dir)
+    deltas = archive.ablation_deltas(r).join(r.select("candidate_id", "generation"), "candidate_id")
+    return reports.numbered(reports.ablation_contributions(deltas), "points", "candidate_id")
+
+
+@_query(f"SELECT candidate_id AS name, 'finalist' AS kind, candidate_id, roles, feature_dim FROM ({_ROLES}) UNION ALL VALUES ('raw_pixels_baseline', 'baseline', NULL, '', 784), ('hog_9bin_4x4_baseline', 'baseline', NULL, '', 1296)")
+def representations_list(spark, sf_dir):
+    return reports.representations(archive.with_roles(rec.search_records(spark, sf_dir), _FORCED))
+
+
+@_query(f"SELECT f.candidate_id, f.roles, r.accuracy_500, r.accuracy_5000, r.feature_dim, round(r.runtime_ms, 6) AS runtime_ms, round(r.ranking_score, 6) AS ranking_score, list_aggregate(r.operators, 'string_agg', ',') AS operators FROM ({_ROLES}) f JOIN ({_R} SELECT * FROM records) r USING (candidate_id)")
+def candidate_summary(spark, sf_dir):
+    r = rec.search_records(spark, sf_dir)
+    roles = archive.with_roles(r, _FORCED).select("candidate_id", "roles")
+    columns = ["accuracy_500", "accuracy_5000", "feature_dim", F.round("runtime_ms", 6).alias("runtime_ms"), F.round("ranking_score", 6).alias("ranking_score"), F.array_join("operators", ",").alias("operators")]
+    return roles.join(r, "candidate_id").select("candidate_id", "roles", *columns)
+
+
+@_query(_R + f" SELECT 'part ' || seq AS name, 'more of ' || operators[1] || ' tells classes apart' AS hypothesis, list_aggregate(operators, 'string_agg', ',') AS operators, accuracy_500, accuracy_5000, feature_dim FROM rankable ORDER BY {_SCORE_ORDER} LIMIT 5")
+def candidate_evidence(spark, sf_dir):
+    best = archive.top(rec.search_records(spark, sf_dir).withColumn("ranking_score", F.round("ranking_score", 9)), 5)
+    texts = [F.concat(F.lit("part "), F.col("seq").cast("string")).alias("name"), F.concat(F.lit("more of "), F.get("operators", F.lit(0)), F.lit(" tells classes apart")).alias("hypothesis")]
+    return best.select(*texts, F.array_join("operators", ",").alias("operators"), "accuracy_500", "accuracy_5000", "feature_dim")
+
+
+_ALL = "record_type, base_candidate_id, removed_operator, proposal_category, accuracy_500, accuracy_5000, feature_dim, runtime_ms, ranking_score, operators"
+
+
+@_query(_R + f", t AS (SELECT candidate_id, generation, {_ALL} FROM records UNION ALL SELECT candidate_id, generation, {_ALL.replace('runtime_ms', 'runtime_ms + CASE WHEN seq % 10 = 0 THEN 1 ELSE 0 END')} FROM records WHERE seq % 5 = 0) SELECT candidate_id, count(DISTINCT (generation, {_ALL})) AS versions FROM t GROUP BY candidate_id HAVING count(DISTINCT (generation, {_ALL})) > 1")
+def archive_conflicts_all_fields(spark, sf_dir):
+    r = rec.search_records(spark, sf_dir)
+    again = r.filter("seq % 5 = 0").withColumn("runtime_ms", F.col("runtime_ms") + F.when(F.col("seq") % 10 == 0, 1).otherwise(0))
+    return reports.conflicts(r.unionByName(again))
+
+
+@_query(_R + " SELECT count(*) FILTER (record_type = 'candidate') AS candidates, count(*) FILTER (record_type = 'candidate' AND generation >= 5) AS candidates_added, count(*) FILTER (record_type = 'ablation' AND generation >= 5) AS ablations_added FROM records")
+def record_totals(spark, sf_dir):
+    r = rec.search_records(spark, sf_dir)
+    return reports.new_record_totals(r, r.filter("generation < 5"))
+
+
+@_query(_R + ", i AS (SELECT DISTINCT sha256(CAST(s_suppkey * 7 AS VARCHAR)) AS candidate_id FROM supplier) SELECT candidate_id, r.seq, r.generation, r.candidate_id IS NOT NULL AS found FROM i LEFT JOIN records r USING (candidate_id)".replace("r.candidate_id IS NOT NULL", "r.seq IS NOT NULL"))
+def archive_lookup(spark, sf_dir):
+    ids = _table(spark, sf_dir, "supplier").select(F.sha2((F.col("s_suppkey") * 7).cast("string"), 256).alias("candidate_id"))
+    return reports.lookup(rec.search_records(spark, sf_dir), ids).select("candidate_id", "seq", "generation", "found")
+
+
+_A = "WITH " + rec.ANSWERS_SQL
+
+
+@_query(_A + " SELECT event_id, accepted FROM answers")
+def accepted_responses(spark, sf_dir):
+    return rec.answers(spark, sf_dir).select("event_id", responses.accepted(F.col("text")).alias("accepted"))
+
+
+@_query(_A + " SELECT event_id, CASE WHEN prompt_tokens >= 0 THEN prompt_tokens END AS prompt_tokens, CASE WHEN response_tokens >= 0 THEN response_tokens END AS response_tokens FROM answers")
+def token_guard(spark, sf_dir):
+    return rec.answers(spark, sf_dir).select("event_id", *[responses.token_count(F.col(c)).alias(c) for c in ("prompt_tokens", "response_tokens")])
+
+
+@_query("SELECT conv_id, turn, left(text, 500) AS error FROM conversations")
+def error_truncation(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", responses.error_text(F.col("text")).alias("error"))
+
+
+@_query(_A + """ SELECT CAST(coalesce(sum(prompt_tokens) FILTER (prompt_tokens IS NOT NULL AND response_tokens IS NOT NULL), 0) AS BIGINT) AS prompt_tokens,
+  CAST(coalesce(sum(response_tokens) FILTER (prompt_tokens IS NOT NULL AND response_tokens IS NOT NULL), 0) AS BIGINT) AS response_tokens,
+  bool_and(prompt_tokens IS NOT NULL AND response_tokens IS NOT NULL) AS complete, count(*) AS answers, count(*) FILTER (accepted) AS accepted, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM answers""")
+def model_usage(spark, sf_dir):
+    return responses.usage(rec.answers(spark, sf_dir))

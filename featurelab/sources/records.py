@@ -81,3 +81,44 @@ def predictions(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
 def predictions_sql(name: str, first: int) -> str:
     e = f"embedding[{first}:{first + 9}]"
     return f"{name} AS (SELECT vec_id AS image_id, label, CAST(list_position({e}, list_max({e})) - 1 AS INTEGER) AS predicted FROM embeddings)"
+
+
+def report_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, key, name, kind, feature_dim, feature_ms): a result per nation, some with the same operators (``key``)."""
+    n = F.col("n_nationkey")
+    kind = F.when(n >= 23, "baseline").otherwise("finalist")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        n.alias("ord"), F.concat(F.lit("k"), (n % 20).cast("string")).alias("key"), F.col("n_name").alias("name"), kind.alias("kind"), (13 * n + 1).alias("feature_dim"), (7 * n % 11).cast("double").alias("feature_ms")
+    )
+
+
+def report_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed runs with their times."""
+    runs = seed_runs(spark, sf_dir).withColumnRenamed("representation", "ord")
+    return runs.withColumns({"training_ms": ((F.col("ord") * F.col("size") + F.col("seed")) % 97).cast("double"), "inference_ms": ((F.col("ord") + F.col("seed")) % 13).cast("double")})
+
+
+REPORT_SQL = (
+    RUNS_SQL
+    + """, results AS (SELECT n_nationkey AS ord, 'k' || n_nationkey % 20 AS key, n_name AS name, CASE WHEN n_nationkey >= 23 THEN 'baseline' ELSE 'finalist' END AS kind,
+  13 * n_nationkey + 1 AS feature_dim, CAST(7 * n_nationkey % 11 AS DOUBLE) AS feature_ms FROM nation),
+u AS (SELECT key, min(ord) AS ord, CASE WHEN count(*) > 1 THEN 'raw pixels (candidate and baseline)' ELSE arg_min(name, ord) END AS name, arg_min(kind, ord) AS kind,
+  CAST(arg_min(feature_dim, ord) AS INTEGER) AS feature_dim, max(feature_ms) AS feature_ms FROM results GROUP BY key),
+z AS (SELECT representation AS ord, CAST(size AS INTEGER) AS size, round(avg(accuracy), 6) AS accuracy_mean, round(coalesce(stddev_samp(accuracy), 0), 6) AS accuracy_std,
+  avg(CAST((representation * size + seed) % 97 AS DOUBLE)) AS training_ms, avg(CAST((representation + seed) % 13 AS DOUBLE)) AS inference_ms FROM runs GROUP BY 1, 2)"""
+)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, model, accepted, prompt_tokens, response_tokens, text): an answer per event, some counts unknown."""
+    i = F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    name = F.concat(F.lit('{"proposals":[{"name":"n'), i.cast("string"), F.lit('"}]}'))
+    text = F.when(i % 5 == 0, name).when(i % 5 == 1, '{"proposals":[]}').when(i % 5 == 2, '{"proposals":[{"name":"n"}],"more":1}').when(i % 5 == 3, "no JSON at all").otherwise(F.concat(F.lit("```json\n"), name, F.lit("\n```")))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("model"), (i % 5 == 0).alias("accepted"), F.when(i % 7 != 0, k - 3).alias("prompt_tokens"), F.when(i % 11 != 0, i % 100).alias("response_tokens"), text.alias("text"))
+
+
+ANSWERS_SQL = """answers AS (SELECT event_id, event_type AS model, event_id % 5 = 0 AS accepted, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) - 3 END AS prompt_tokens,
+  CASE WHEN event_id % 11 <> 0 THEN event_id % 100 END AS response_tokens,
+  CASE event_id % 5 WHEN 0 THEN '{"proposals":[{"name":"n' || event_id || '"}]}' WHEN 1 THEN '{"proposals":[]}' WHEN 2 THEN '{"proposals":[{"name":"n"}],"more":1}' WHEN 3 THEN 'no JSON at all'
+    ELSE '```json' || chr(10) || '{"proposals":[{"name":"n' || event_id || '"}]}' || chr(10) || '```' END AS text FROM events)"""
