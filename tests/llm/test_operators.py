@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featurelab.llm import ann, archive, cotraining, hmm, language_id, mixing, ngram_join, packing, quality_rules, template_extraction
 from featurelab.llm.queries import QUERIES, tokenizer_path
@@ -904,6 +905,33 @@ def test_pipeline_stages(spark, documents):
     check_packing(out, [(r.doc_id, r.text) for r in docs.collect()], 1)
 
 
+@pytest.mark.parametrize("extended", [False, True])
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, documents, extended):
+    import corpus_pipeline
+
+    base = documents.columns
+    more = ["node", "_h"]  # names that operators use themselves
+    odd, empty = (df.select(*base, *(more if extended else [])) for df in (odd, empty))
+    long = documents.withColumn("doc_id", F.col("doc_id") + 1000)
+    if extended:
+        long = long.withColumns({"node": F.lit("x"), "_h": F.lit(1)})
+    docs = odd.unionByName(long)
+    for df in (docs, odd, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, SMALL).persist()
+            assert df.columns == [*base, *(more if extended else [])], name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, df, SMALL).collect()
+        assert sorted({r.doc_id for r in pieces}) == sorted({r.doc_id for r in df.collect()})
+        check_packing(pieces, [(r.doc_id, r.text) for r in df.collect()], 1)
+    assert not pieces
+
+
+def test_filters_of_empty_tables(empty):
+    for f in (quality_rules.filter_documents, language_id.filter_documents, ngram_join.filter_documents, mixing.mix_documents):
+        out = f(empty)
+        assert out.columns == empty.columns and out.count() == 0
+
+
 # ---------------------------------------------------------------- shared
 
 
