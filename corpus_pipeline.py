@@ -1,4 +1,11 @@
-"""The corpus pipeline: rules, language, near duplicates, mixing, packing."""
+"""The corpus pipeline: rules, language, near duplicates, mixing, packing.
+
+Defined cases, by stage: rows whose text is null, empty or without words go with the rules; those without a letter go with
+the language; rows that are equal in id and text, and all but the smallest id of a group of near duplicates, go with the
+join, rows without an id stay; the mix takes rows as often as its slots read them, a null source is a source; every copy
+that is left is packed. Further columns, whatever their names, are kept by all stages but the last; an empty table stays
+empty through all of them.
+"""
 
 from __future__ import annotations
 
