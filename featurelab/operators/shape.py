@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.functions.geometry import BINS, direction_bin, turn_bin, wrapped
+from featurelab.functions.geometry import BINS, bound, direction_bin, turn_bin, wrapped
 
 SIDE = 28
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -175,16 +175,15 @@ def _angles(points: Column) -> Column:
 
 def _pairs(points: Column) -> Column:
     """(a, b) of a path: angles of steps in succession, round the end of a closed path too."""
-    angles = _angles(points)
     closed = (F.size(points) > 2) & (F.get(points, 0) == F.element_at(points, -1))
-    around = F.when(closed & (F.size(angles) > 1), F.concat(angles, F.slice(angles, 1, 1))).otherwise(angles)
-    return F.transform(F.slice(around, 2, F.greatest(F.size(around) - 1, F.lit(0))), lambda b, i: F.struct(F.get(around, i).alias("a"), b.alias("b")))
+    around = bound(_angles(points), lambda angles: F.when(closed & (F.size(angles) > 1), F.concat(angles, F.slice(angles, 1, 1))).otherwise(angles))
+    return bound(around, lambda x: F.transform(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda b, i: F.struct(F.get(x, i).alias("a"), b.alias("b"))))
 
 
 def _histogram(bins: Column, size: int) -> Column:
     """Shares of the bins 0 to ``size`` - 1 in an array of pairs of bins; zeros if it is empty."""
-    flat = F.flatten(bins)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(F.size(flat) > 0, F.size(F.filter(flat, lambda x: x == k)) / F.size(flat)).otherwise(0.0))
+    share = lambda flat, k: F.when(F.size(flat) > 0, F.size(F.filter(flat, lambda x: x == k)) / F.size(flat)).otherwise(0.0)
+    return bound(F.flatten(bins), lambda flat: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: share(flat, k)))
 
 
 def direction_histogram(paths: Column) -> Column:
