@@ -20,10 +20,11 @@ RESULT = (
 )
 
 
-def _timed(df: DataFrame) -> tuple[DataFrame, float]:
-    """``df`` held in memory and the milliseconds that took."""
+def _timed(df: DataFrame, hold: list[DataFrame]) -> tuple[DataFrame, float]:
+    """``df`` held in memory, as one of ``hold``, and the milliseconds that took."""
     began = perf_counter()
     df = df.persist()
+    hold.append(df)
     df.count()
     return df, (perf_counter() - began) * 1000
 
@@ -52,24 +53,23 @@ class Evaluator:
         fits and predictions of all sizes; the score of the first and the last size's accuracy."""
         pipeline = FeaturePipeline(operators, controls)  # fails before any data is read
         split = sampling.stratified_sample(self._images.select("image_id", "label"), self._validation, self._seed)
-        train, held = split.filter(~F.col("chosen")).select("image_id", "label"), split.filter("chosen").select("image_id")
+        train, kept_out = split.filter(~F.col("chosen")).select("image_id", "label"), split.filter("chosen").select("image_id")
         features = lambda ids: pipeline.transform(self._images.join(ids, "image_id")).select("image_id", "label", "features")
-        validation, validation_ms = _timed(features(held))
         rows, name = [], "+".join(o.name for o in operators)
-        for size in self._sizes:
-            chosen = sampling.stratified_sample(train, size, self._seed).filter("chosen").select("image_id")
-            fitted, train_ms = _timed(features(chosen))
-            began = perf_counter()
-            model = learning.Learner().fit(fitted)
-            fit_ms = (perf_counter() - began) * 1000
-            predictions, predict_ms = _timed(model.predict(validation))
-            cells = learning.confusion(predictions).orderBy("actual", "predicted").collect()  # classes x classes
-            classes = cells[-1].actual + 1
-            matrix = [[c.n for c in cells[k * classes : (k + 1) * classes]] for k in range(classes)]
-            rows.append((name, size, pipeline.feature_dim, learning.accuracy(predictions).first()[0], matrix, train_ms, validation_ms, fit_ms, predict_ms))
-            predictions.unpersist()
-            fitted.unpersist()
-        validation.unpersist()
+        with held() as hold:
+            validation, validation_ms = _timed(features(kept_out), hold)
+            for size in self._sizes:
+                chosen = sampling.stratified_sample(train, size, self._seed).filter("chosen").select("image_id")
+                with held() as of_size:
+                    fitted, train_ms = _timed(features(chosen), of_size)
+                    began = perf_counter()
+                    model = learning.Learner().fit(fitted)
+                    fit_ms = (perf_counter() - began) * 1000
+                    predictions, predict_ms = _timed(model.predict(validation), of_size)
+                    cells = learning.confusion(predictions).orderBy("actual", "predicted").collect()  # classes x classes
+                    classes = cells[-1].actual + 1
+                    matrix = [[c.n for c in cells[k * classes : (k + 1) * classes]] for k in range(classes)]
+                    rows.append((name, size, pipeline.feature_dim, learning.accuracy(predictions).first()[0], matrix, train_ms, validation_ms, fit_ms, predict_ms))
         runtime = validation_ms + sum(r[5] + r[7] + r[8] for r in rows)
         score = 0.6 * rows[0][3] + 0.4 * rows[-1][3] - 0.001 * log1p(pipeline.feature_dim) - 0.0001 * log1p(runtime)
         return self._images.sparkSession.createDataFrame([(*r, runtime, score) for r in rows], RESULT)
