@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, archive, cotraining, hmm, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, template_extraction, whitening
+from . import alignment, ann, archive, cotraining, hmm, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, template_extraction, whitening
 from .common import table
 
 
@@ -58,11 +58,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ivf_pq_search, op2_language_id, op3_cotraining_quality, op4_best_fit_packing, op5_source_mixing, op6_quality_rules, op7_warc_archive, op8_hmm_scoring, op9_template_extraction, op10_ngram_jaccard_join, op11_embedding_whitening, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ivf_pq_search, op2_language_id, op3_cotraining_quality, op4_best_fit_packing, op5_source_mixing, op6_quality_rules, op7_warc_archive, op8_hmm_scoring, op9_template_extraction, op10_ngram_jaccard_join, op11_embedding_whitening, op12_tokenizer_alignment, op13_line_dedup)}
 
 _DIGITS = "'0123456789abcdefghijklmnopqrstuv', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _BASE32 = " || ".join(f"lpad(to_base(('0x' || substr(digest, {5 * k + 1}, 5))::BIGINT, 32), 4, '0')" for k in range(8))
