@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurelab.operators import merging
+
 
 def scale_statistics(rows: DataFrame, column: str = "features") -> DataFrame:
-    """(dim, mean, std) of each feature: population deviation, 1 where it is 0."""
-    long = rows.select(F.posexplode(column).alias("dim", "v"))
-    std = F.stddev_pop("v")
-    return long.groupBy("dim").agg(F.avg("v").alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("std"))
+    """(dim, mean, std) of each feature: population deviation, 1 where it is 0. One aggregate of vectors' moments."""
+    found = merging.merged(rows.select(column), lambda batch: merging.moments(merging.matrix(batch.column(0))), merging.merge_moments)
+    n, mean, squares = found or (0, np.zeros(0), np.zeros(0))
+    std = np.sqrt(squares / max(n, 1))
+    values = [(k, float(m), float(d) if d > 0 else 1.0) for k, (m, d) in enumerate(zip(mean, std))]
+    return rows.sparkSession.createDataFrame(values, "dim int, mean double, std double")
 
 
 class Learner:

@@ -103,7 +103,7 @@ class FeaturePipeline:
         known = _COLUMNS | (_CONTROLS if controls else {})
         if not self._operators:
             raise CompilationError("no operators")
-        self.feature_dim = 0
+        self.dims: list[int] = []
         for o in self._operators:
             allowed = {"threshold"} if o.name == "topology" else set()
             hog = controls and o.name == _CONTROL_HOG[0]
@@ -114,7 +114,8 @@ class FeaturePipeline:
             t = o.params.get("threshold", 0.5)
             if isinstance(t, bool) or not isinstance(t, (int, float)) or not 0 < t < 1:
                 raise CompilationError("threshold must be between 0 and 1")
-            self.feature_dim += 4 if o.name == "topology" else _CONTROL_HOG[1] if hog else (known | _HISTOGRAMS)[o.name][0]
+            self.dims.append(4 if o.name == "topology" else _CONTROL_HOG[1] if hog else (known | _HISTOGRAMS)[o.name][0])
+        self.feature_dim = sum(self.dims)
         self._known = known
 
     def transform(self, images: DataFrame) -> DataFrame:
@@ -140,6 +141,36 @@ class FeaturePipeline:
         return df.select(*images.columns, F.when(sound, features).otherwise(F.raise_error(F.lit("features must be finite and of the declared size"))).alias("features"))
 
 
+class SharedPlan:
+    """One pipeline for several lists of operators: each distinct operator is computed once, and a list's features are
+    slices of the wide vector, at ``places``."""
+
+    def __init__(self, lists: Sequence[Sequence[OperatorSpec]], controls: bool = False):
+        at: dict[tuple[str, float], tuple[int, int]] = {}
+        distinct: list[OperatorSpec] = []
+        self.places: list[tuple[int, ...]] = []
+        for operators in lists:
+            own = FeaturePipeline(operators, controls)  # names what can't be compiled
+            for o, dim in zip(operators, own.dims):
+                if self._key(o) not in at:
+                    at[self._key(o)] = (sum(d for _, d in at.values()), dim)
+                    distinct.append(o)
+            self.places.append(tuple(p for o in operators for p in range(at[self._key(o)][0], sum(at[self._key(o)]))))
+        self._pipeline = FeaturePipeline(distinct, controls)
+
+    @staticmethod
+    def _key(o: OperatorSpec) -> tuple[str, float]:
+        return o.name, float(o.params.get("threshold", 0.5))
+
+    def transform(self, images: DataFrame) -> DataFrame:
+        """``images`` with the wide vector as ``features``."""
+        return self._pipeline.transform(images)
+
+    def sliced(self, k: int) -> Column:
+        """The features of list ``k`` from the wide vector."""
+        return F.transform(F.array(*map(F.lit, self.places[k])), lambda p: F.get("features", p))
+
+
 def compile_spec(spec: RepresentationSpec) -> FeaturePipeline:
     try:
         return FeaturePipeline(spec.operators)

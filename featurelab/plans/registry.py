@@ -274,8 +274,7 @@ def baseline_sweep(spark, sf_dir):
     from featurelab.plans.compiler import OperatorSpec
 
     e = Evaluator(glyphs.images(spark, sf_dir), validation=100, sizes=(100, 300))
-    raw, downsampled, hog = (e.evaluate([OperatorSpec(k)], controls=True) for k in ("raw_pixels", "downsampled", "hog"))
-    return raw.unionByName(downsampled).unionByName(hog)
+    return e.evaluate_many([[OperatorSpec(k)] for k in ("raw_pixels", "downsampled", "hog")], controls=True)
 
 
 @_query()

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Sequence
 from time import perf_counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.operators import learning, reports, sampling
+from featurelab.operators import reports, sampling
 from featurelab.plans.compiler import FeaturePipeline, OperatorSpec, RepresentationSpec
-from featurelab.plans.evaluation import Evaluator, held
+from featurelab.plans.evaluation import Evaluator, accuracy_of, fit_and_apply
 from featurelab.sources import archive_files
 
+SWEEP = "candidate_id string, name string, feature_dim int, accuracy_small double, accuracy_large double, confusion_matrix array<array<bigint>>, runtime_ms double, ranking_score double"
 RUN = "representation string, kind string, feature_dim int, size int, seed int, accuracy double, training_ms double, inference_ms double, feature_ms double, confusion_matrix array<array<bigint>>"
 
 
+def _same_place(a: str, b: str) -> bool:
+    """Whether two paths name one folder, or one of them lies in the other."""
+    x, y = (posixpath.normpath(re.sub("^file:/*", "/", p)) for p in (a, b))
+    return x == y or x.startswith(y + "/") or y.startswith(x + "/")
+
+
 def check_arguments(sizes: Sequence[int], seeds: Sequence[int], output: str | None = None, inputs: Sequence[str] = ()) -> None:
-    """Sizes and seeds are whole, not empty and not repeated, sizes positive; the output is none of the inputs."""
+    """Sizes and seeds are whole, not empty and not repeated, sizes positive; the output is none of the inputs, however
+    their paths are written, and lies in none."""
     for name, values, least in (("sizes", sizes, 1), ("seeds", seeds, 0)):
         if not values or len(set(values)) != len(values) or any(type(v) is not int or v < least for v in values):
             raise ValueError(f"{name} must be unique whole numbers from {least} on")
-    if output is not None and output.rstrip("/") in {i.rstrip("/") for i in inputs}:
+    if output is not None and any(_same_place(output, i) for i in inputs):
         raise ValueError("the output may not replace an input")
 
 
@@ -35,26 +45,20 @@ def timed_features(images: DataFrame, operators: Sequence[OperatorSpec], control
 
 def runs_grid(train: DataFrame, test: DataFrame, representations: Sequence[tuple[str, str, Sequence[OperatorSpec]]], sizes: Sequence[int], seeds: Sequence[int]) -> DataFrame:
     """A row per representation (name, kind, operators), size and seed: fitted on a stratified sample of ``train`` and
-    applied to all of ``test``. Features are extracted once a representation."""
+    applied to all of ``test``. Features of all representations are extracted in one scan, and all fits go over the rows
+    together, so a run's times are its even share of the whole."""
     check_arguments(sizes, seeds)
-    rows = []
-    for name, kind, operators in representations:
-        pipeline = FeaturePipeline(operators, kind == "baseline")
-        with held() as hold:
-            (fit, fit_ms), (held_out, out_ms) = (timed_features(part, operators, kind == "baseline") for part in (train, test))
-            hold += [fit, held_out]
-            for size in sizes:
-                for seed in seeds:
-                    some = sampling.stratified_sample(fit, size, seed).filter("chosen")
-                    began = perf_counter()
-                    model = learning.Learner().fit(some)
-                    training = (perf_counter() - began) * 1000
-                    began = perf_counter()
-                    cells = learning.confusion(model.predict(held_out)).orderBy("actual", "predicted").collect()  # classes x classes
-                    inference, n = (perf_counter() - began) * 1000, cells[-1].actual + 1
-                    matrix = [[c.n for c in cells[k * n : (k + 1) * n]] for k in range(n)]
-                    right = sum(matrix[k][k] for k in range(n)) / sum(map(sum, matrix))
-                    rows.append((name, kind, pipeline.feature_dim, size, seed, right, training, inference, fit_ms + out_ms, matrix))
+    wanted = [(size, seed) for size in sizes for seed in seeds]
+    chosen = sampling.stratified_samples(train.select("image_id", "label"), wanted)
+    columns = [c for c in train.columns if c in test.columns]
+    both = train.select(*columns, F.lit(False).alias("_test")).unionByName(test.select(*columns, F.lit(True).alias("_test")))
+    lists = [operators for _, _, operators in representations]
+    joint = fit_and_apply(both, lists, [~F.col("_test") & c for c in chosen], F.col("_test"), controls=any(kind == "baseline" for _, kind, _ in representations))
+    fits, rows = len(lists) * len(wanted), []
+    for k, (name, kind, _) in enumerate(representations):
+        for s, (size, seed) in enumerate(wanted):
+            matrix = joint.matrices[k, s]
+            rows.append((name, kind, joint.dims[k], size, seed, accuracy_of(matrix), joint.training_ms / fits, joint.inference_ms / fits, joint.feature_ms / len(lists), matrix))
     return train.sparkSession.createDataFrame(rows, RUN)
 
 
@@ -97,10 +101,12 @@ def check_provenance(spark, finalists: str, accessed: bool, checksum: str) -> No
 def seed_sweep(images: DataFrame, specs: Sequence[RepresentationSpec], validation: int, sizes: Sequence[int], seed: int = 42) -> DataFrame:
     """Evaluation of each specification: identity, name, and the columns of the evaluator's result for the largest size
     with the accuracies of both."""
-    out = None
-    for spec in specs:
-        rows = Evaluator(images, validation, sizes, seed).evaluate(spec.operators)
-        both = rows.groupBy("feature_dim", "runtime_ms", "ranking_score").agg(F.min_by("accuracy", "train_size").alias("accuracy_small"), F.max_by("accuracy", "train_size").alias("accuracy_large"), F.max_by("confusion_matrix", "train_size").alias("confusion_matrix"))
-        one = both.withColumns({"candidate_id": F.lit(spec.spec_hash()), "name": F.lit(spec.name)})
-        out = one if out is None else out.unionByName(one)
-    return out
+    evaluator = Evaluator(images, validation, sizes, seed)
+    by_spec: list[list[tuple]] = [[] for _ in specs]
+    for k, row in enumerate(evaluator.rows([s.operators for s in specs])):
+        by_spec[k // len(sizes)].append(row)
+    rows = []
+    for spec, own in zip(specs, by_spec):
+        small, large = (f(own, key=lambda r: r[1]) for f in (min, max))
+        rows.append((spec.spec_hash(), spec.name, large[2], small[3], large[3], large[4], large[9], large[10]))
+    return images.sparkSession.createDataFrame(rows, SWEEP)
