@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -76,24 +77,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, b in (("p", _BASE), ("i", inverse)):
-            x = np.full(size, b, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[key] = np.multiply.accumulate(x)
-    return _POWERS["p"][:n], _POWERS["i"][:n]
+#: Longer words are hashed one by one.
+_LONG_WORD = 128
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _hashed(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word of bytes: every 8 bytes are added to what the mixer made of those before."""
+    lengths = ends - starts
+    h = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded, (len(low) + 1, 8), (1, 1))
+    at = np.flatnonzero(lengths <= _LONG_WORD)
+    done = 0
+    while len(at):
+        block = eights[starts[at] + done].view("<u8")[:, 0] & _HEAD[np.minimum(lengths[at] - done, 8)]
+        h[at] = mix(mix(h[at] ^ block) + np.uint64(0x2545F4914F6CDD1D))
+        done += 8
+        at = at[lengths[at] > done]
+    for k in np.flatnonzero(lengths > _LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def text_slices(texts: pa.Array, most: int = 1 << 18, rows: int = 1 << 20):
@@ -129,11 +137,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | fresh[1:])) + 1
-    power, inverse = _powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[low] * power, out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets), starts, ends
+    return _hashed(low, starts, ends), np.searchsorted(starts, offsets), starts, ends
 
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
