@@ -180,25 +180,20 @@ def aligned(chunks: DataFrame) -> DataFrame:
     link = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
 
     def covers(p: Column) -> Column:
-        alike = p.a_ends == p.b_ends
-        return F.struct(
-            p.a_ids, p.b_ids, alike.alias("alike"), F.when(~alike, F.array_union(p.a_ends, p.b_ends)).alias("ends"), F.when(alike, p.a_ends).otherwise(F.array_intersect(p.a_ends, p.b_ends)).alias("common"),
-            F.when(~alike, _cover(p.a_ends)).alias("a_at"), F.when(~alike, _cover(p.b_ends)).alias("b_at"),
-        )
+        """Null for a piece that both cut alike."""
+        unlike = F.struct(F.array_union(p.a_ends, p.b_ends).alias("ends"), F.array_intersect(p.a_ends, p.b_ends).alias("common"), _cover(p.a_ends).alias("a_at"), _cover(p.b_ends).alias("b_at"))
+        return F.struct(p.a_ids, p.b_ids, F.when(p.a_ends != p.b_ends, unlike).alias("cut"))
 
     def pairs(p: Column) -> Column:
-        links = F.transform(p.ends, lambda e: link(F.get(p.a_ids, F.get(p.a_at, e - 1)), F.get(p.b_ids, F.get(p.b_at, e - 1))))
-        last = lambda at: F.when(~p.alike, F.transform(p.common, lambda e: F.get(at, e - 1)))
-        return F.struct(
-            p.a_ids, p.b_ids, p.alike, F.size(p.common).cast("long").alias("n"), last(p.a_at).alias("a_last"), last(p.b_at).alias("b_last"),
-            F.when(p.alike, F.zip_with(p.a_ids, p.b_ids, link)).otherwise(links).alias("links"),
-        )
+        links = F.transform(p.cut.ends, lambda e: link(F.get(p.a_ids, F.get(p.cut.a_at, e - 1)), F.get(p.b_ids, F.get(p.cut.b_at, e - 1))))
+        last = lambda at: F.transform(p.cut.common, lambda e: F.get(at, e - 1))
+        return F.struct(p.a_ids, p.b_ids, last(p.cut.a_at).alias("a_last"), last(p.cut.b_at).alias("b_last"), F.coalesce(links, F.zip_with(p.a_ids, p.b_ids, link)).alias("links"))
 
     def grouped(p: Column) -> Column:
         of_group = lambda k: F.concat(_listed(p.a_ids, p.a_last, k), F.lit("|"), _listed(p.b_ids, p.b_last, k))
         of_token = lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
-        texts = F.when(p.alike, F.zip_with(p.a_ids, p.b_ids, of_token)).otherwise(F.transform(F.sequence(F.lit(1), p.n.cast("int")), of_group))
-        return F.struct(p.n, F.array_join(texts, ";").alias("groups"), p.links)
+        texts = F.when(p.a_last.isNull(), F.zip_with(p.a_ids, p.b_ids, of_token)).otherwise(F.transform(F.sequence(F.lit(1), F.size(p.a_last)), of_group))
+        return F.struct(F.size(F.coalesce(p.a_last, p.a_ids)).cast("long").alias("n"), F.array_join(texts, ";").alias("groups"), p.links)
 
     df = chunks
     for step in (covers, pairs, grouped):
