@@ -9,8 +9,8 @@ from featurelab.sources.archive_files import RECORDS
 
 
 def record_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """Records as they are appended to the archive at ``path``."""
-    return spark.readStream.schema(RECORDS).option("mode", "FAILFAST").option("maxFilesPerTrigger", files).json(path)
+    """Records as they are committed to the archive at ``path``."""
+    return spark.readStream.schema(RECORDS).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).json(path)
 
 
 def best_by_generation(records: DataFrame) -> DataFrame:
