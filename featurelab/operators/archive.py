@@ -68,6 +68,12 @@ def confusion_pairs(cells: DataFrame, k: int = 5) -> DataFrame:
     return cells.filter("actual <> predicted and n > 0").orderBy(F.desc("n"), "actual", "predicted").limit(k)
 
 
+def matrix_cells(records: DataFrame) -> DataFrame:
+    """(candidate_id, actual, predicted, n): the cells of the records' own confusion matrices."""
+    rows = records.select("candidate_id", F.posexplode("confusion_matrix").alias("actual", "_row"))
+    return rows.select("candidate_id", "actual", F.posexplode("_row").alias("predicted", "n"))
+
+
 def feedback(targets: DataFrame, cells: DataFrame) -> DataFrame:
     """Counts of each target pair before and after, and the improvement."""
     after = cells.withColumnRenamed("n", "candidate_count")

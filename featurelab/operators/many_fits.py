@@ -178,3 +178,24 @@ def confusion_many(rows: DataFrame, fitted: Sequence[Fitted]) -> list[list[list[
     for r in cells:
         out[r.model][r.label][r.predicted] = r["count"]
     return out
+
+
+def gradients(rows: DataFrame, model: Fitted, c: float = 1.0) -> DataFrame:
+    """(label, dim, gradient) of the regularised loss of ``rows`` (label, features) at the model's weights; the last dim is
+    the intercept. By columns only, apart from the code that fits: where all are 0, the model is the fit, as the loss is
+    convex."""
+    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    mean, std = array(model.mean), array(model.std)
+    x = F.transform(F.array(*map(F.lit, map(int, model.places))), lambda p: F.get("features", p))
+    z = F.concat(F.transform(x, lambda v, i: (v - F.get(mean, i)) / F.get(std, i)), F.array(F.lit(1.0)))
+    df = rows.select("label", z.alias("z"))
+    dot = lambda w: F.aggregate(F.zip_with("z", array(w), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    df = df.select("label", "z", F.array(*map(dot, model.weights)).alias("s"))
+    df = df.select("label", "z", F.transform("s", lambda v: F.exp(v - F.array_max("s"))).alias("e"))
+    df = df.select("label", "z", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda t, u: t + u)).alias("p"))
+    labels = F.array(*map(F.lit, model.labels))
+    each = df.select("z", F.posexplode(F.zip_with("p", labels, lambda p, k: p - (F.col("label") == k).cast("double"))).alias("class", "r"))
+    cells = each.select("class", "r", F.posexplode("z").alias("dim", "v"))
+    sums = cells.groupBy("class", "dim").agg(F.sum(F.col("r") * F.col("v")).alias("g"), F.count("*").alias("n"))
+    weights = F.array(*[array([*w[:-1], 0.0]) for w in model.weights])  # intercepts are free
+    return sums.select(F.get(labels, F.col("class")).alias("label"), "dim", ((F.col("g") + F.get(F.get(weights, F.col("class")), F.col("dim")) / c) / F.col("n")).alias("gradient"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.operators import archive, learning, pixels, reports, responses, sampling, shape
-from featurelab.sources import glyphs, loaders, records as rec
+from featurelab.operators import archive, learning, many_fits, pixels, reports, responses, sampling, shape
+from featurelab.functions import canonical
+from featurelab.sources import archive_files, glyphs, loaders, records as rec
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -260,6 +262,15 @@ def logreg_predictions(spark, sf_dir):
     return learning.Learner().fit(rows.filter(~F.col("chosen"))).predict(rows.filter("chosen")).select("image_id", "label", "predicted")
 
 
+@_query(f"WITH {_STATS} SELECT label, dim, true AS stationary FROM (SELECT DISTINCT label FROM embeddings), (SELECT DISTINCT dim FROM l UNION ALL SELECT max(dim) + 1 FROM l)")
+def fit_certificate(spark, sf_dir):
+    """The gradient at the fitted weights, class by class and dimension by dimension, is below the tolerance."""
+    rows = _features(spark, sf_dir).withColumn("samples", F.array(F.lit(0)))
+    dim = rows.select(F.size("features")).first()[0]
+    (model,) = many_fits.fit_many(rows, [many_fits.Model(0, tuple(range(dim)))])
+    return many_fits.gradients(rows, model).select("label", "dim", (F.abs("gradient") < 1e-7).alias("stationary"))
+
+
 @_query()
 def evaluate_spec(spark, sf_dir):
     from featurelab.plans.evaluation import Evaluator
@@ -565,6 +576,28 @@ def archive_conflicts_all_fields(spark, sf_dir):
     return reports.conflicts(r.unionByName(again))
 
 
+_SPEC_SQL = _R + """, s AS (SELECT seq, 'part ' || seq AS name, 'more "' || operators[1] || '" \\ ' || p_name AS hypothesis, 'better' || chr(10) || 'than before' AS prediction, 'it isn' || chr(39) || 't' AS falsification,
+  list_transform(operators, lambda o: '{"name":"' || o || '","params":{' || CASE WHEN o = 'topology' AND seq % 3 = 0 THEN '"threshold":0.' || (seq % 9 + 1) ELSE '' END || '}}') AS operators FROM records JOIN part ON p_partkey = seq),
+e AS (SELECT seq, name, list_aggregate(operators, 'string_agg', ',') AS operators, sha256('{"falsification":' || q(falsification) || ',"hypothesis":' || q(hypothesis) || ',"name":' || q(name) || ',"operators":[' || list_aggregate(operators, 'string_agg', ',') || '],"prediction":' || q(prediction) || '}') AS candidate_id FROM s)
+SELECT * FROM e"""
+_QUOTED = r"""'"' || replace(replace(replace(\1, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"'"""
+
+
+@_query(re.sub(r"\bq\((\w+)\)", _QUOTED, _SPEC_SQL))
+def archived_identities(spark, sf_dir):
+    """Records with whole specifications pass the archive's check, which recomputes each id."""
+    r = rec.search_records(spark, sf_dir).join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), "p_name"), "seq")
+    threshold = F.concat(F.lit("0."), (F.col("seq") % 9 + 1).cast("string"))
+    operators = F.transform("operators", lambda o: canonical.operator_json(o, F.when((o == "topology") & (F.col("seq") % 3 == 0), threshold)))
+    prose = {
+        "name": F.concat(F.lit("part "), F.col("seq").cast("string")), "hypothesis": F.concat(F.lit('more "'), F.get("operators", F.lit(0)), F.lit('" \\ '), F.col("p_name")),
+        "prediction": F.lit("better\nthan before"), "falsification": F.lit("it isn't"),
+    }
+    whole = r.withColumns(prose).withColumn("operators", operators)
+    known = whole.withColumn("candidate_id", canonical.spec_id(*[F.col(p) for p in archive_files.PROSE], F.col("operators")))
+    return archive_files.checked_records(known).select("seq", "name", F.array_join("operators", ",").alias("operators"), "candidate_id")
+
+
 @_query(_R + " SELECT count(*) FILTER (record_type = 'candidate') AS candidates, count(*) FILTER (record_type = 'candidate' AND generation >= 5) AS candidates_added, count(*) FILTER (record_type = 'ablation' AND generation >= 5) AS ablations_added FROM records")
 def record_totals(spark, sf_dir):
     r = rec.search_records(spark, sf_dir)
