@@ -86,7 +86,7 @@ def _members(column: pa.Array, samples: int) -> list[np.ndarray]:
     row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
     of = column.flatten().to_numpy()
     order = np.argsort(of, kind="stable")
-    return np.split(row[order], np.searchsorted(of[order], np.arange(1, samples)))
+    return np.split(row[order], np.searchsorted(of[order], np.arange(samples + 1)))[1:-1]  # without numbers that no model has
 
 
 def fit_many(rows: DataFrame, models: Sequence[Model], c: float = 1.0, most_steps: int = 1000, tolerance: float = 1e-8) -> list[Fitted]:
@@ -95,7 +95,9 @@ def fit_many(rows: DataFrame, models: Sequence[Model], c: float = 1.0, most_step
     if not models:
         return []
     samples = max(m.sample for m in models) + 1
-    counts = rows.select("label", F.explode("samples").alias("sample")).groupBy("sample", "label").count().collect()  # samples x classes
+    sizes = rows.select("label", F.size("features").alias("width"), F.explode("samples").alias("sample"))
+    counts = sizes.groupBy("sample", "label").agg(F.max("width").alias("width")).collect()  # samples x classes
+    width = max((r.width for r in counts), default=0)
     labels: list[list] = [sorted(r.label for r in counts if r["sample"] == k) for k in range(samples)]
     for m in models:
         if not labels[m.sample]:
@@ -105,7 +107,7 @@ def fit_many(rows: DataFrame, models: Sequence[Model], c: float = 1.0, most_step
     data, tasks = rows.select("label", "features", "samples"), rows.rdd.getNumPartitions()
 
     def scales(batch: pa.RecordBatch) -> list[merging.Moments]:
-        x = merging.matrix(batch.column(1))
+        x = merging.matrix(batch.column(1), width)
         if not np.isfinite(x).all():
             raise ValueError("features must be finite")
         return [merging.moments(x[at]) for at in _members(batch.column(2), samples)]
@@ -118,7 +120,7 @@ def fit_many(rows: DataFrame, models: Sequence[Model], c: float = 1.0, most_step
 
     def losses(points: dict[int, np.ndarray]) -> dict[int, list]:
         def of_batch(batch: pa.RecordBatch) -> dict[int, list]:
-            x, members = merging.matrix(batch.column(1)), _members(batch.column(2), samples)
+            x, members = merging.matrix(batch.column(1), width), _members(batch.column(2), samples)
             label, out = batch.column(0).to_numpy(), {}
             for k, w in points.items():
                 s = models[k].sample
