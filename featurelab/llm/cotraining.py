@@ -2,8 +2,8 @@
 
 Two views of a document, its text (hashed words and pairs of words, byte classes and word figures) and its metadata
 (source, language, length), each have a logistic classifier. Over rounds every document is scored by both views, and
-each view labels documents for the other: those at its upper and lower end, in the proportion of the labelled classes,
-if it is right about enough of the labelled rows there. At the end both views' margins are calibrated on labelled
+each view labels documents for the other: those at its upper and at its lower end, each as wide as it may be for the view
+to be right about enough of the labelled rows there. A round from which no view learns anything is the last. At the end both views' margins are calibrated on labelled
 documents that no classifier was fitted on, and combined; every document is scored.
 
 Texts are read where they are stored and never shuffled: a pass leaves two margins of a document, and only the rows
@@ -152,33 +152,48 @@ def _up_to(rows: int, of: int) -> int:
     return int(min(1.0, rows / max(1, of)) * (1 << 20)) + (rows > 0)
 
 
-def _teach(docs: DataFrame, own: DataFrame, ids: DataFrame, model: Model, prior: float, share: float, sure: float, fit_rows: int) -> DataFrame | None:
+def _ends(both: DataFrame, own: DataFrame, weights: dict, prior: float, share: float, sure: float) -> dict[tuple[str, int], float]:
+    """By view and end (0 the lower, 1 the upper) the margin up to which, or from which, the view is sure: the widest of
+    ``share``, a half, a quarter, ... a 32nd of it of the documents, in the labelled proportion, with five labelled rows or
+    more that the view is right about ``sure`` of. Ends that have none are left out."""
+    shares = [share / 2**k for k in range(6)]
+    at = [s * (1 - prior) for s in shares] + [1 - s * prior for s in shares]
+    cuts = both.agg(*[F.percentile_approx(f"{v}_m", at, 10_000).alias(v) for v in VIEWS]).first()
+    fitted = own.select("label", *[_margin(weights[v], f"{v}_x").alias(f"{v}_m") for v in VIEWS])
+    tried = {}
+    for v in VIEWS:
+        for k, (low, high) in enumerate(zip(cuts[v][:6], cuts[v][6:]) if cuts[v] else ()):
+            if low < high:
+                tried |= {(v, 0, k): (F.col(f"{v}_m") <= low, low), (v, 1, k): (F.col(f"{v}_m") >= high, high)}
+    if not tried:
+        return {}
+    hits = fitted.agg(*[f(F.when(inside, right)).alias(f"{v}{end}{k}{name}") for (v, end, k), (inside, _) in tried.items() for right in [F.abs(F.col("label") - 1 + end)] for name, f in (("n", F.count), ("r", F.avg))]).first()
+    found: dict[tuple[str, int], float] = {}
+    for (v, end, k), (_, cut) in tried.items():  # the widest first
+        if (v, end) not in found and hits[f"{v}{end}{k}n"] >= 5 and hits[f"{v}{end}{k}r"] >= sure:
+            found[v, end] = cut
+    return found
+
+
+def _teach(docs: DataFrame, own: DataFrame, ids: DataFrame, model: Model, prior: float, share: float, sure: float, fit_rows: int, learnt: set[str]) -> DataFrame | None:
     """Documents that a view labels for the other, as rows of features with ``text_label`` and ``meta_label`` (null where
-    the other view says nothing). Adds the counts to the model."""
+    the other view says nothing); None if no view that has changed (``learnt``) labels any. Adds the counts to the model."""
     both = materialize(margins(docs, model).join(F.broadcast(ids), "doc_id", "left_anti").filter("doc_id is not null"), "cotrain-margins")
-    ends = [share * (1 - prior), 1 - share * prior]
-    cuts = both.agg(*[F.percentile_approx(f"{v}_m", ends, 10_000).alias(v) for v in VIEWS]).first()
-    fitted = own.select("label", *[_margin(model.weights[v], f"{v}_x").alias(f"{v}_m") for v in VIEWS])
-    region = {}
-    for v in VIEWS:
-        low, high = cuts[v] or (0.0, 0.0)
-        region[v] = (F.col(f"{v}_m") <= low, F.col(f"{v}_m") >= high) if low < high else None
-    known = [v for v in VIEWS if region[v]]
+    cuts = _ends(both, own, model.weights, prior, share, sure)
     counts, labels = {v: (0, 0) for v in VIEWS}, {}
-    if known:
-        right = fitted.agg(*[F.avg(F.when(r, F.abs(F.col("label") - 1 + k))).alias(f"{v}{k}") for v in known for k, r in enumerate(region[v])]).first()
-        found = both.agg(*[F.sum(r.cast("long")).alias(f"{v}{k}") for v in known for k, r in enumerate(region[v])]).first()
-        for v in known:
-            n = [found[f"{v}{k}"] or 0 for k in (0, 1)]
-            # as many of both classes as there are in the labelled proportion, fit_rows at most
-            all_ = min(fit_rows, n[0] / (1 - prior), n[1] / prior)
-            take = [round(all_ * (1 - prior)), round(all_ * prior)]
-            if min(take) > 0 and all((right[f"{v}{k}"] or 0) >= sure for k in (0, 1)):
-                counts[v] = tuple(take)
-                bad, good = (region[v][k] & (_draw() < _up_to(take[k], n[k])) for k in (0, 1))
-                labels[v] = F.when(bad, 0.0).when(good, 1.0)
+    inside = {(v, end): F.col(f"{v}_m") >= cut if end else F.col(f"{v}_m") <= cut for (v, end), cut in cuts.items()}
+    if inside:
+        found = both.agg(*[F.sum(c.cast("long")).alias(f"{v}{end}") for (v, end), c in inside.items()]).first()
+        for v in VIEWS:
+            n = {end: found[f"{v}{end}"] or 0 for end in (0, 1) if (v, end) in inside}
+            # as many of both classes as there are in the labelled proportion where both ends teach, fit_rows at most
+            most = min([fit_rows, *(m / (prior if end else 1 - prior) for end, m in n.items())]) if n else 0
+            take = {end: round(most * (prior if end else 1 - prior)) for end in n}
+            if any(take.values()):
+                counts[v] = take.get(0, 0), take.get(1, 0)
+                labels[v] = F.coalesce(*[F.when(inside[v, end] & (_draw() < _up_to(take[end], n[end])), float(end)) for end in take if take[end]])
     model.taught.append(counts)
-    if not labels:
+    if not set(labels) & learnt:
         return None
     none = F.lit(None).cast("double")
     chosen = both.select("doc_id", labels.get("meta", none).alias("text_label"), labels.get("text", none).alias("meta_label")).filter("text_label is not null or meta_label is not null")
@@ -190,7 +205,7 @@ def _teach(docs: DataFrame, own: DataFrame, ids: DataFrame, model: Model, prior:
 def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, share: float = 0.2, sure: float = 0.9, fit_rows: int = 8_000) -> Model | float:
     """The calibrated model, or the mean label where there is nothing to fit on. A classifier is fitted on at most about
     ``fit_rows`` labelled rows and as many that the other view labelled, drawn by hash of the id. A view labels the
-    documents within ``share`` of its ends if it is right about ``sure`` of the labelled ones there."""
+    documents at an end of it, ``share`` of them or fewer, where it is right about ``sure`` of the labelled ones."""
     votes = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     votes, seen = counted(votes, "cotrain-labels", n=F.count("*"))
     ids = votes.filter(_draw() < _up_to(fit_rows, seen["n"]))
@@ -209,11 +224,13 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, share: float =
     own, held = rows.filter("not calibrating"), rows.filter("calibrating" if min(fold[True]) else "not calibrating")
     prior = fold[False][1] / sum(fold[False])
     model = Model(known, {v: _fit(own, f"{v}_x") for v in VIEWS})
+    learnt = set(VIEWS)
     for _ in range(rounds):
-        more = _teach(docs, own, ids.select("doc_id"), model, prior, share, sure, fit_rows)
+        more = _teach(docs, own, ids.select("doc_id"), model, prior, share, sure, fit_rows, learnt)
         if more is None:
             break
-        for v in VIEWS:
+        learnt = {v for v, n in zip(VIEWS, reversed(model.taught[-1].values())) if sum(n)}  # what the other view taught
+        for v in learnt:
             extra = more.filter(f"{v}_label is not null").select(F.col(f"{v}_label").alias("label"), f"{v}_x")
             model.weights[v] = _fit(own.select("label", f"{v}_x").unionByName(extra), f"{v}_x")
     held = held.select("label", *[_margin(model.weights[v], f"{v}_x").alias(f"{v}_m") for v in VIEWS])

@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -160,13 +159,13 @@ def dropped_lines(docs: DataFrame, least_chars: int = 40, documents: int = 5) ->
     return streamed.filter(F.col("kind") == DROP).select(names).unionByName(undecided.filter(go).select(names))
 
 
-def _bitmaps(lines: pd.Series) -> pd.Series:
-    def pack(x: np.ndarray) -> bytes:
-        keep = np.ones(int(max(x)) // 8 * 8 + 8, dtype=np.uint8)
+def _bitmaps(lines: pa.Array) -> pa.Array:
+    def pack(x: list[int]) -> bytes:
+        keep = np.ones(max(x) // 8 * 8 + 8, dtype=np.uint8)
         keep[x] = 0
         return zlib.compress(np.packbits(keep).tobytes(), 1)
 
-    return lines.map(pack)
+    return pa.array([pack(x) for x in lines.to_pylist()], pa.binary())
 
 
 def keep_bitmaps(docs: DataFrame, least_chars: int = 40, documents: int = 5) -> DataFrame:
@@ -174,17 +173,17 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, documents: int = 5) ->
     dropped, 1 if it stays, deflated; the last byte is filled with ones, and lines beyond it stay."""
     lines = dropped_lines(docs, least_chars, documents)
     each = lines.groupBy("doc", "text_id").agg(F.collect_set("line").alias("lines"))  # repeated rows name a line more than once
-    return each.select("doc", "text_id", F.size("lines").cast("long").alias("n_dropped"), F.pandas_udf(_bitmaps, "binary")("lines").alias("keep"))
+    return each.select("doc", "text_id", F.size("lines").cast("long").alias("n_dropped"), F.arrow_udf(_bitmaps, "binary")("lines").alias("keep"))
 
 
-def _cut(texts: pd.Series, keeps: pd.Series) -> pd.Series:
+def _cut(texts: pa.Array, keeps: pa.Array) -> pa.Array:
     def cut(text: str | None, keep: bytes | None) -> str | None:
         if keep is None:
             return None
         bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))
         return "\n".join(x for i, x in enumerate((text or "").split("\n")) if i >= len(bits) or bits[i])
 
-    return pd.Series([cut(t, k) for t, k in zip(texts, keeps)], dtype=object)
+    return pa.array([cut(t.as_py(), k.as_py()) for t, k in zip(texts, keeps)], pa.string())
 
 
 def deduplicated(docs: DataFrame, least_chars: int = 40, documents: int = 5) -> DataFrame:
@@ -196,7 +195,7 @@ def deduplicated(docs: DataFrame, least_chars: int = 40, documents: int = 5) ->
     rows = docs.select(*docs.columns, doc.alias("_d"), text.alias("_t"))
     both = rows.join(bitmaps.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_text_id")), "left")
     loses = F.col("_gone").isNotNull()
-    cut = F.pandas_udf(_cut, "string")(F.when(loses, docs["text"]), F.col("keep"))
+    cut = F.arrow_udf(_cut, "string")(F.when(loses, docs["text"]), F.col("keep"))
     return both.select(*[docs[c] for c in docs.columns], F.when(loses, cut).otherwise(F.coalesce(docs["text"], F.lit(""))).alias("kept_text"), F.size(text_lines(docs["text"])).cast("long").alias("n_lines"), F.coalesce("_gone", F.lit(0)).alias("n_dropped"))
 
 

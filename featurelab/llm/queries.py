@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import alignment, ann, archive, cotraining, hmm, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, template_extraction, whitening
-from .common import table
-
-
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from .common import table, tokenizer_path
 
 
 def op1_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
