@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from featurelab.llm import language_id, mixing, ngram_join, packing, quality_rules
-from featurelab.llm.common import materialize, table
-from featurelab.llm.queries import tokenizer_path
+from featurelab.llm.common import materialize, table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
