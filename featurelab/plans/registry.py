@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurelab.operators import archive, learning, many_fits, pixels, reports, responses, sampling, shape
 from featurelab.functions import canonical
+from featurelab.operators import archive, learning, many_fits, pixels, reports, responses, sampling, shape
+from featurelab.plans import shape_sql
 from featurelab.sources import archive_files, glyphs, loaders, records as rec
 
 _QUERIES: dict[str, Callable] = {}
@@ -93,78 +94,38 @@ def pipeline_concat_spatial_symmetry(spark, sf_dir):
     return f.select("image_id", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names)], F.size("features").alias("feature_dim"))
 
 
-@_query("SELECT vec_id AS image_id, CAST(1 AS INTEGER) AS components, CAST(CASE WHEN label IN (0, 6, 9) THEN 1 WHEN label = 8 THEN 2 ELSE 0 END AS INTEGER) AS holes FROM embeddings")
+@_query(shape_sql.regions_sql())
 def topology_components_holes(spark, sf_dir):
     return shape.shapes(glyphs.images(spark, sf_dir)).select("image_id", "components", "holes")
 
 
-#: What the thinned glyphs of each label have, whatever their place: ends and junctions, then counts of bins.
-_ENDS = ((0, 0), (2, 0), (2, 0), (3, 1), (3, 1), (2, 0), (1, 1), (2, 0), (0, 2), (1, 1))
-_DIRECTIONS = (
-    {0: 13, 1: 2, 2: 33, 3: 1, 4: 13, 5: 2, 6: 33, 7: 1},
-    {2: 1, 6: 1},
-    {0: 20, 1: 2, 2: 15, 3: 1, 4: 20, 5: 2, 6: 15, 7: 1},
-    {0: 19, 1: 1, 2: 16, 3: 1, 4: 19, 5: 1, 6: 16, 7: 1},
-    {0: 7, 1: 1, 2: 24, 4: 7, 5: 1, 6: 24},
-    {0: 20, 1: 2, 2: 15, 3: 1, 4: 20, 5: 2, 6: 15, 7: 1},
-    {0: 21, 1: 2, 2: 24, 3: 1, 4: 21, 5: 2, 6: 24, 7: 1},
-    {0: 6, 1: 1, 2: 17, 4: 6, 5: 1, 6: 17},
-    {0: 21, 1: 2, 2: 33, 3: 1, 4: 21, 5: 2, 6: 33, 7: 1},
-    {0: 20, 1: 2, 2: 24, 3: 1, 4: 20, 5: 2, 6: 24, 7: 1},
-)
-_TURNS = (
-    {2: 3, 3: 6, 4: 80, 5: 6, 6: 3},
-    {4: 1},
-    {2: 3, 3: 6, 4: 56, 5: 6, 6: 3},
-    {3: 1, 4: 15, 5: 1},
-    {3: 1, 4: 27, 5: 1},
-    {2: 3, 3: 6, 4: 56, 5: 6, 6: 3},
-    {2: 2, 3: 3, 4: 37, 5: 3, 6: 2},
-    {3: 1, 4: 21, 5: 1},
-    {2: 1, 3: 2, 4: 30, 5: 2, 6: 1},
-    {2: 5, 3: 5, 4: 72, 5: 6, 6: 4},
-)
-_TRANSITIONS = (
-    {0: 10, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 30, 19: 1, 20: 1, 28: 1, 34: 2, 36: 10, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 30, 62: 1},
-    {18: 1, 54: 1},
-    {0: 16, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 12, 19: 1, 20: 1, 28: 1, 34: 2, 36: 16, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 12, 62: 1},
-    {0: 16, 1: 1, 7: 1, 10: 1, 18: 14, 19: 1, 28: 1, 36: 16, 44: 1, 53: 1, 54: 14, 62: 1},
-    {0: 6, 8: 1, 17: 1, 18: 21, 36: 6, 37: 1, 46: 1, 54: 21},
-    {0: 16, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 12, 19: 1, 20: 1, 28: 1, 34: 2, 36: 16, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 12, 62: 1},
-    {0: 17, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 20, 19: 1, 20: 1, 28: 1, 34: 3, 36: 17, 37: 1, 44: 1, 46: 1, 48: 3, 53: 1, 54: 20, 62: 1},
-    {0: 5, 1: 1, 10: 1, 18: 16, 36: 5, 44: 1, 53: 1, 54: 16},
-    {0: 17, 1: 1, 6: 1, 7: 1, 8: 1, 10: 1, 17: 1, 18: 28, 19: 1, 20: 1, 28: 1, 34: 2, 36: 17, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 28, 62: 1},
-    {0: 16, 1: 1, 6: 2, 7: 1, 8: 1, 10: 1, 17: 1, 18: 20, 19: 1, 20: 2, 28: 1, 34: 2, 36: 16, 37: 1, 44: 1, 46: 1, 48: 2, 53: 1, 54: 20, 62: 1},
-)
-
-
-def _shares_sql(counts: tuple, size: int) -> str:
-    rows = ", ".join(f"({label}, {k}, {n})" for label, bins in enumerate(counts) for k, n in bins.items())
-    return f"""WITH f(label, bin, n) AS (VALUES {rows}), t AS (SELECT label, sum(n) AS total FROM f GROUP BY label)
-SELECT e.vec_id AS image_id, CAST(b.bin AS INTEGER) AS bin, round(coalesce(f.n, 0)::DOUBLE / t.total::DOUBLE, 6) AS share
-FROM embeddings e JOIN t USING (label) CROSS JOIN (SELECT unnest(range({size})) AS bin) b LEFT JOIN f ON f.label = e.label AND f.bin = b.bin"""
+@_query(shape_sql.regions_sql(inverted=True))
+def topology_of_complements(spark, sf_dir):
+    """Images with light and dark exchanged: several components, with holes that hold components."""
+    images = glyphs.images(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: 1 - v))
+    return shape.shapes(images).select("image_id", "components", "holes")
 
 
 def _rounded(long: DataFrame) -> DataFrame:
     return long.select("image_id", "bin", F.round("share", 6).alias("share"))
 
 
-@_query(f"WITH f(label, endpoints, junctions) AS (VALUES {', '.join(f'({k}, {e}, {j})' for k, (e, j) in enumerate(_ENDS))}) SELECT vec_id AS image_id, CAST(endpoints AS INTEGER) AS endpoints, CAST(junctions AS INTEGER) AS junctions FROM embeddings JOIN f USING (label)")
+@_query(shape_sql.ends_sql())
 def topology_endpoints_junctions(spark, sf_dir):
     return shape.shapes(glyphs.images(spark, sf_dir)).select("image_id", "endpoints", "junctions")
 
 
-@_query(_shares_sql(_DIRECTIONS, 8))
+@_query(shape_sql.directions_sql())
 def stroke_direction(spark, sf_dir):
     return _rounded(shape.stroke_direction(shape.shapes(glyphs.images(spark, sf_dir))))
 
 
-@_query(_shares_sql(_TRANSITIONS, 64))
+@_query(shape_sql.transitions_sql())
 def direction_transition(spark, sf_dir):
     return _rounded(shape.direction_transition(shape.shapes(glyphs.images(spark, sf_dir))))
 
 
-@_query(_shares_sql(_TURNS, 8))
+@_query(shape_sql.turns_sql())
 def curvature(spark, sf_dir):
     return _rounded(shape.curvature(shape.shapes(glyphs.images(spark, sf_dir))))
 
