@@ -594,3 +594,8 @@ def error_truncation(spark, sf_dir):
   bool_and(prompt_tokens IS NOT NULL AND response_tokens IS NOT NULL) AS complete, count(*) AS answers, count(*) FILTER (accepted) AS accepted, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM answers""")
 def model_usage(spark, sf_dir):
     return responses.usage(rec.answers(spark, sf_dir))
+
+
+@_query(f"WITH {rec.PROPOSING_SQL} SELECT event_id, coalesce(proposals, 0) AS proposals, coalesce(sound, 0) AS sound, coalesce(proposals > 0 AND proposals = sound, false) AS accepted FROM answers LEFT JOIN verdicts USING (event_id)")
+def proposal_verdicts(spark, sf_dir):
+    return responses.verdicts(rec.proposing_answers(spark, sf_dir), rec.OPERATORS, "event_id")

@@ -122,3 +122,38 @@ ANSWERS_SQL = """answers AS (SELECT event_id, event_type AS model, event_id % 5
   CASE WHEN event_id % 11 <> 0 THEN event_id % 100 END AS response_tokens,
   CASE event_id % 5 WHEN 0 THEN '{"proposals":[{"name":"n' || event_id || '"}]}' WHEN 1 THEN '{"proposals":[]}' WHEN 2 THEN '{"proposals":[{"name":"n"}],"more":1}' WHEN 3 THEN 'no JSON at all'
     ELSE '```json' || chr(10) || '{"proposals":[{"name":"n' || event_id || '"}]}' || chr(10) || '```' END AS text FROM events)"""
+
+
+#: Operators of proposed specifications, as JSON: sound ones, and ones with a fault each.
+PROPOSED = (
+    '{"name":"topology","params":{}}', '{"name":"topology","params":{"threshold":0.25}}', '{"params":{},"name":"raw_pixels"}', '{"name":"spatial","params":{}}', '{"name":"hog","params":{}}', '{"name":"spatial","params":{"threshold":0.5}}',
+    '{"name":"topology","params":{"threshold":1}}', '{"name":"topology","params":{"threshold":"0.5"}}', '{"name":"topology","params":{"threshold":true}}', '{"name":"topology"}', '{"name":"topology","params":{},"more":1}', '{"name":"topology","params":[]}', '{"name":7,"params":{}}',
+)
+
+
+def proposing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, text): an answer of two proposals per event, with operators of PROPOSED; some lack or have more."""
+    i = F.col("event_id")
+    one = lambda k, name: F.concat(F.lit('{"name":'), name, F.lit(',"hypothesis":"h","prediction":"p","falsification":'), F.when(i % 23 == 0, '" "').otherwise('"f"'), F.when(i % 29 == 0, ',"more":1').otherwise(""), F.lit(',"operators":['), F.when(i % 31 == 0, "").otherwise(_pick(PROPOSED, k % len(PROPOSED))), F.lit("]}"))
+    named = F.concat(F.lit('"n'), i.cast("string"), F.lit('"'))
+    both = F.concat(F.lit('{"proposals":['), one(i, named), F.lit(","), one(F.floor(i / 13), F.when(i % 37 == 0, "5").otherwise(named)), F.lit("]"), F.when(i % 41 == 0, ',"x":1').otherwise(""), F.lit("}"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(i % 43 == 0, F.substring(both, 3, 40)).otherwise(both).alias("text"))
+
+
+def _proposal_sql(k: str, name: str) -> str:
+    listed = "[" + ", ".join(f"'{o}'" for o in PROPOSED) + "]"
+    return f"""'{{"name":' || {name} || ',"hypothesis":"h","prediction":"p","falsification":' || CASE WHEN event_id % 23 = 0 THEN '" "' ELSE '"f"' END || CASE WHEN event_id % 29 = 0 THEN ',"more":1' ELSE '' END || ',"operators":[' || CASE WHEN event_id % 31 = 0 THEN '' ELSE {listed}[{k} % {len(PROPOSED)} + 1] END || ']}}'"""
+
+
+_NAMED = """'"n' || event_id || '"'"""
+PROPOSING_SQL = f"""texts AS (SELECT event_id, '{{"proposals":[' || {_proposal_sql('event_id', _NAMED)} || ',' || {_proposal_sql('(event_id // 13)', f"CASE WHEN event_id % 37 = 0 THEN '5' ELSE {_NAMED} END")} || ']' || CASE WHEN event_id % 41 = 0 THEN ',"x":1' ELSE '' END || '}}' AS text FROM events),
+answers AS (SELECT event_id, CASE WHEN event_id % 43 = 0 THEN substr(text, 3, 40) ELSE text END AS text FROM texts),
+valid AS (SELECT event_id, CAST(text AS JSON) AS j FROM answers WHERE json_valid(text)),
+listed AS (SELECT event_id, unnest(from_json(j -> 'proposals', '["JSON"]')) AS p FROM valid WHERE json_keys(j) = ['proposals'] AND json_type(j, '$.proposals') = 'ARRAY'),
+told AS (SELECT event_id, p, row_number() OVER () AS k, list_sort(json_keys(p)) = ['falsification', 'hypothesis', 'name', 'operators', 'prediction']
+  AND json_type(p, '$.name') = 'VARCHAR' AND json_type(p, '$.hypothesis') = 'VARCHAR' AND json_type(p, '$.prediction') = 'VARCHAR' AND json_type(p, '$.falsification') = 'VARCHAR'
+  AND trim(p ->> 'name') <> '' AND trim(p ->> 'hypothesis') <> '' AND trim(p ->> 'prediction') <> '' AND trim(p ->> 'falsification') <> '' AND json_array_length(p, '$.operators') > 0 AS sound FROM listed),
+operators AS (SELECT k, unnest(from_json(p -> 'operators', '["JSON"]')) AS o FROM told WHERE sound),
+faulty AS (SELECT k, count(*) AS n FROM operators WHERE NOT coalesce(list_sort(json_keys(o)) = ['name', 'params'] AND json_type(o, '$.name') = 'VARCHAR' AND (o ->> 'name') IN ({', '.join(f"'{x}'" for x in OPERATORS)}) AND json_type(o, '$.params') = 'OBJECT'
+  AND (json_keys(o, '$.params') = [] OR (json_keys(o, '$.params') = ['threshold'] AND (o ->> 'name') = 'topology' AND json_type(o, '$.params.threshold') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND TRY_CAST(o ->> '$.params.threshold' AS DOUBLE) > 0 AND TRY_CAST(o ->> '$.params.threshold' AS DOUBLE) < 1)), false) GROUP BY k),
+verdicts AS (SELECT event_id, count(*) AS proposals, count(*) FILTER (sound AND n IS NULL) AS sound FROM told LEFT JOIN faulty USING (k) GROUP BY event_id)"""

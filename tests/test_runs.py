@@ -105,3 +105,29 @@ def test_lookup(spark):
     records = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "candidate_id string, seq int")
     ids = spark.createDataFrame([("a",), ("x",), ("a",)], "candidate_id string")
     assert sorted(tuple(r) for r in reports.lookup(records, ids).collect()) == [("a", 1, True), ("x", None, False)]
+
+
+def test_proposals_are_decoded_and_judged(spark):
+    import json
+
+    good = {"name": "n", "hypothesis": "h", "prediction": "p", "falsification": "f", "operators": [{"name": "topology", "params": {"threshold": 0.25}}, {"name": "spatial", "params": {}}]}
+    sound = [good, good | {"operators": [{"name": "topology", "params": {}}]}]
+    faults = [
+        ({k: v for k, v in good.items() if k != "name"}, "a proposal has"), (good | {"more": 1}, "a proposal has"), ([good], "a proposal has"), (None, "a proposal has"),
+        (good | {"name": " "}, "blank"), (good | {"name": 5}, "blank"), (good | {"prediction": None}, "blank"), (good | {"operators": []}, "list"), (good | {"operators": {}}, "list"), (good | {"operators": "x"}, "list"),
+        *[(good | {"operators": [good["operators"][0], o]}, what) for o, what in (
+            ({"name": "hog", "params": {}}, "unknown"), ({"name": 3, "params": {}}, "unknown"), ({"name": "topology"}, "name and params"), ({"name": "topology", "params": {}, "x": 1}, "name and params"), ("topology", "name and params"),
+            ({"name": "spatial", "params": {"threshold": 0.5}}, "doesn't take"), ({"name": "topology", "params": {"x": 0.5}}, "doesn't take"), ({"name": "topology", "params": [1]}, "map"), ({"name": "topology", "params": None}, "map"),
+            *(({"name": "topology", "params": {"threshold": t}}, "threshold") for t in (0, 1, -0.5, 1.5, "0.5", True, None, [0.5])),
+        )],
+    ]
+    texts = [json.dumps({"proposals": sound + [f for f, _ in faults]}), json.dumps({"proposals": sound}), json.dumps({"proposals": sound, "x": 1}), json.dumps({"proposals": []}), json.dumps({"proposals": good}), "no", "", None]
+    answers = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    allowed = ("topology", "spatial")
+    rows = responses.proposals(answers.filter("k = 0"), allowed).orderBy("pos").collect()
+    assert len(rows) == 2 + len(faults) and rows[0].fault is None and rows[1].fault is None
+    for r, (f, what) in zip(rows[2:], faults):
+        assert r.fault and what in r.fault, (f, r.fault)
+    assert rows[0].proposal.name == "n" and json.loads(rows[0].proposal.operators[0]) == good["operators"][0]
+    got = {r.k: (r.proposals, r.sound, r.accepted) for r in responses.verdicts(answers, allowed, "k").collect()}
+    assert got == {0: (2 + len(faults), 2, False), 1: (2, 2, True)} | {k: (0, 0, False) for k in range(2, 8)}
