@@ -8,7 +8,8 @@ have such lists only, there scores their rows only by asymmetric distance tables
 exactly, in double precision. Queries meet a shard in chunks, so that a task holds a bounded number of both.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite components
-take no part, neither as query nor as candidate; of rows with equal ids the nearest counts, once; equal scores go to the
+take no part, neither as query nor as candidate; of rows with equal ids the nearest counts, once, and as a query the one of
+least vector; equal scores go to the
 smaller id; with fewer candidates than ``k`` all are returned; an empty table gives an empty result; further columns are
 ignored.
 """
@@ -195,7 +196,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
                 found.append(pd.DataFrame({"query_id": np.full(len(top), own[i]), "vec_id": ids[b][top], "score": exact[top]}))
         return pd.concat(found)
 
-    queries = index.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    queries = index.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").groupBy("query_id").agg(F.min("embedding").alias("embedding"))  # the least of several vectors of one id
     queries = queries.mapInPandas(route, "query_id bigint, embedding array<double>, shard bigint").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
     # every chunk of queries reads the shard's rows again, of which there are about as many
     of = spark.createDataFrame([(i, int(a), int(s)) for i, (a, s) in enumerate(zip(first, splits))], "list_id bigint, _first bigint, _splits bigint")  # at most 4,096 rows

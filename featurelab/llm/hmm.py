@@ -181,23 +181,26 @@ def baum_welch(sequences: DataFrame, shares: np.ndarray, states: int, iterations
     for _ in range(iterations):
 
         def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            total, pending, held = np.zeros(states * (1 + states + CLASSES)), [], 0
+            total, begin, later, held = np.zeros(states * (1 + states + CLASSES)), [], [], 0
+            inside = model | {"start": np.linalg.matrix_power(model["move"], 64).mean(axis=0)}  # a segment within a text
 
             def add() -> None:
                 nonlocal total
-                total = total + np.concatenate([x.ravel() for x in expected_counts(pending, model)])
-                pending.clear()
+                counts, rest = expected_counts(begin, model), expected_counts(later, inside)
+                total = total + np.concatenate([x.ravel() for x in (counts[0], counts[1] + rest[1], counts[2] + rest[2])])
+                begin.clear()
+                later.clear()
 
             for batch in batches:
                 for raw in batch.column(0):
                     x = np.frombuffer(raw.as_buffer(), dtype=np.int16)
                     for a in range(0, len(x), segment):
-                        pending.append(x[a : a + segment])
+                        (later if a else begin).append(x[a : a + segment])  # only a text's beginning tells of starts
                         held += min(segment, len(x) - a)
                     if held > 1_000_000:
                         add()
                         held = 0
-            if pending:
+            if begin or later:
                 add()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["cell", "v"])
 
