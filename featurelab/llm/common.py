@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -111,6 +113,18 @@ def _hashed(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return h
 
 
+def released(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``read`` for mapInArrow; at its end the worker, which waits for other tasks then, gives unused memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from read(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
+
+    return run
+
+
 def text_slices(texts: pa.Array, most: int = 1 << 18, rows: int = 1 << 20):
     """(first row, bytes, row offsets) of runs of ``rows`` rows at most and about ``most`` bytes; a longer text is a
     run of its own. Null texts are empty."""

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, materialize, mix, shingles_of, small_batches, text_slices, words_of
+from .common import counted, materialize, mix, released, shingles_of, small_batches, text_slices, words_of
 
 #: Bits of a signature, of the wide one of sets over WIDE_FROM, nodes of a chunk, most frequent shingles at most, rows of a
 #: tile about, rows of one tile read at once at most.
@@ -83,7 +83,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                 yield rows(batch.column(0).slice(at, len(sets)).cast(pa.int64()), keys, [len(s) for s in sets], [_signature(s) for s in sets], [_signature(s, WIDE) if len(s) >= WIDE_FROM else None for s in sets], *(frequent() if over else none))
         yield rows(pa.nulls(0, pa.int64()), [], [], [], [], *frequent())
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, node binary, n bigint, signature binary, wide binary, shingle bigint, times bigint")
+    return docs.select("doc_id", "text").mapInArrow(released(read), "doc_id bigint, node binary, n bigint, signature binary, wide binary, shingle bigint, times bigint")
 
 
 def _least(n: int, percent: int) -> int:
@@ -148,7 +148,7 @@ def _tiles(docs: DataFrame, words: int, percent: int, hot: np.ndarray, times: np
                     names=["shingle", "salt", "salts", "node", "n", "place"],
                 )
 
-    return docs.select("text").mapInArrow(read, "shingle bigint, salt int, salts int, node binary, n int, place int")
+    return docs.select("text").mapInArrow(released(read), "shingle bigint, salt int, salts int, node binary, n int, place int")
 
 
 def _shared(prefixes: DataFrame, percent: int, at_once: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _shared(prefixes: DataFrame, percent: int, at_once: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, columns[3].take(pa.array(hub)), columns[4].take(pa.array(hub))], names=["shingle", "salt", "salts", "node", "n", "place", "hub", "hub_n"])
 
     ordered = prefixes.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
-    return ordered.mapInArrow(read, "shingle bigint, salt int, salts int, node binary, n int, place int, hub binary, hub_n int")
+    return ordered.mapInArrow(released(read), "shingle bigint, salt int, salts int, node binary, n int, place int, hub binary, hub_n int")
 
 
 def _signature(s: np.ndarray, size: int = BITS) -> bytes:
@@ -227,7 +227,7 @@ def _arrays(docs: DataFrame, found: DataFrame, words: int, most: int) -> DataFra
     if most <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_node")
-    return texts.mapInArrow(read, "node binary, items binary")
+    return texts.mapInArrow(released(read), "node binary, items binary")
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,10 +261,10 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     one = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("doc_id").alias("ib"))
     met = pairs.join(one, "a").join(two, "b").select("a", "ia", "na", "sa", "b", "nb", "sb", "ib")
-    met = met.mapInArrow(read, "a binary, b binary, ia bigint, ib bigint, na bigint, nb bigint")
+    met = met.mapInArrow(released(read), "a binary, b binary, ia bigint, ib bigint, na bigint, nb bigint")
     large = nodes.filter("wide is not null").select("node", "wide")
     met = met.join(large.toDF("a", "wa"), "a", "left").join(large.toDF("b", "wb"), "b", "left").select("a", "b", "ia", "ib", "wa", "wb", "na", "nb")
-    return met.mapInArrow(again, "a binary, b binary, ia bigint, ib bigint")
+    return met.mapInArrow(released(again), "a binary, b binary, ia bigint, ib bigint")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, perc
     found, seen = counted(_candidates(pairs, nodes, percent), "join-candidates", n=F.count("*"))
     arrays = materialize(_arrays(docs, found, words, 2 * seen["n"]), "join-arrays")
     both = found.join(arrays.select(F.col("node").alias("a"), F.col("items").alias("xa")), "a").join(arrays.select(F.col("node").alias("b"), F.col("items").alias("xb")), "b")
-    return both.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "xa", "xb").mapInArrow(read, "a bigint, b bigint")
+    return both.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "xa", "xb").mapInArrow(released(read), "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -378,7 +378,7 @@ def _across(shared: DataFrame, nodes: DataFrame, component: DataFrame, percent:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in once], pa.binary()), pa.array([y for _, y in once], pa.binary())], names=["a", "b"])
 
     columns = ["shingle", "chunk", "other", "n", "place", "component", "side", "node", "signature"]
-    return cells.select(*columns).mapInArrow(read, "a binary, b binary").distinct()
+    return cells.select(*columns).mapInArrow(released(read), "a binary, b binary").distinct()
 
 
 def _stars(shared: DataFrame, percent: int) -> DataFrame:

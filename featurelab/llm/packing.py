@@ -84,12 +84,12 @@ class Encoder:
         return ids
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, ranks: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, ranks: str | None = None, remember: int = 600_000) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of every document. A document longer than ``capacity`` is
     cut into full pieces, the first of which may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer, ranks), np.array([END], dtype="<u4").tobytes()
+        encoder, end = Encoder(tokenizer, ranks, remember=remember), np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -393,6 +393,6 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("_rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
-def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, ranks: str | None = None) -> DataFrame:
-    """Every piece of every document with its place in the packed sequences."""
-    return pack(materialize(token_pieces(docs, tokenizer, capacity, ranks), "pack-pieces"), capacity)
+def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, ranks: str | None = None, remember: int = 600_000) -> DataFrame:
+    """Every piece of every document with its place in the packed sequences. A task remembers ``remember`` words' ids."""
+    return pack(materialize(token_pieces(docs, tokenizer, capacity, ranks, remember), "pack-pieces"), capacity)
