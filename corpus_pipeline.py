@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences of 1,024 tokens."""
-    return packing.packed_pieces(docs, tokenizer_path(), ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.packed_pieces(docs, tokenizer_path(), ranks=tokenizer_path("byte_bpe_50k.tiktoken"), remember=150_000)
 
 
 STAGES = [("quality_rules", quality), ("language_id", language), ("ngram_jaccard_join", near_duplicates), ("source_mixing", mix), ("best_fit_packing", pack)]
