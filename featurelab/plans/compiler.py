@@ -8,6 +8,7 @@ import math
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ def _plain(value: object) -> bool:
     return value is None or isinstance(value, (str, int, bool)) or (isinstance(value, float) and math.isfinite(value))
 
 
+def _frozen(value: object) -> object:
+    """A copy that can't be changed: maps become read-only views of their own copies, lists tuples."""
+    if isinstance(value, dict):
+        return MappingProxyType({k: _frozen(v) for k, v in value.items()})
+    return tuple(map(_frozen, value)) if isinstance(value, (list, tuple)) else value
+
+
+def _thawed(value: object) -> object:
+    if isinstance(value, MappingProxyType):
+        return {k: _thawed(v) for k, v in value.items()}
+    return list(map(_thawed, value)) if isinstance(value, tuple) else value
+
+
 @dataclass(frozen=True)
 class OperatorSpec:
     name: str
@@ -37,9 +51,10 @@ class OperatorSpec:
             raise ValueError(f"bad operator name {self.name!r}")
         if not isinstance(self.params, dict) or not _plain(self.params):
             raise ValueError("parameters must be a map of plain JSON values")
+        object.__setattr__(self, "params", _frozen(self.params))
 
     def as_dict(self) -> dict:
-        return {"name": self.name, "params": self.params}
+        return {"name": self.name, "params": _thawed(self.params)}
 
     def to_json(self) -> str:
         return json.dumps(self.as_dict(), sort_keys=True, separators=(",", ":"), allow_nan=False)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from featurelab.operators import reports, sampling
 from featurelab.plans.compiler import FeaturePipeline, OperatorSpec, RepresentationSpec
 from featurelab.plans.evaluation import Evaluator, accuracy_of, fit_and_apply
-from featurelab.sources import archive_files
+from featurelab.sources import archive_files, commits
 
 SWEEP = "candidate_id string, name string, feature_dim int, accuracy_small double, accuracy_large double, confusion_matrix array<array<bigint>>, runtime_ms double, ranking_score double"
 RUN = "representation string, kind string, feature_dim int, size int, seed int, accuracy double, training_ms double, inference_ms double, feature_ms double, confusion_matrix array<array<bigint>>"
@@ -70,10 +70,16 @@ def combined_matrix(runs: DataFrame) -> DataFrame:
 
 def final_evaluation(train: DataFrame, test: DataFrame, finalists: str, specs: Sequence[RepresentationSpec], sizes: Sequence[int] = (250, 500, 1_000, 5_000, 60_000), seeds: Sequence[int] = (11, 23, 47), output: str | None = None) -> DataFrame:
     """Runs of the frozen ``finalists`` (a folder; ``specs`` gives their specifications) and of the controls. Arguments,
-    the archive's checksum and the identities of the specifications are checked before ``test`` is read."""
+    the archive's checksum, the identities of the specifications, the number of training rows and the output, which may
+    be neither there already nor an input, are checked before ``test`` is read."""
     check_arguments(sizes, seeds, output, [finalists])
     spark = train.sparkSession
-    frozen = archive_files.frozen_finalists(spark, finalists).select("candidate_id", "operators", "test_set_accessed").collect()  # eight at most
+    frozen = archive_files.frozen_finalists(spark, finalists).select("candidate_id", "operators", "test_set_accessed", "search_archive").collect()  # eight at most
+    check_arguments(sizes, seeds, output, [r.search_archive for r in frozen])
+    if output is not None and commits.exists(spark, output):
+        raise ValueError(f"{output} is there already")
+    if max(sizes) > (rows := train.count()):
+        raise ValueError(f"there are {rows} training rows, too few for a sample of {max(sizes)}")
     known = {s.spec_hash(): s for s in specs}
     if len({r.candidate_id for r in frozen}) != len(frozen) or any(r.test_set_accessed for r in frozen):
         raise ValueError("finalists must be unique and chosen without the test rows")

@@ -75,6 +75,10 @@ def test_final_evaluation_and_provenance(spark, tmp_path):
     for bad, what in ((specs[:1], "identity"), ((), "identity")):
         with pytest.raises(ValueError, match=what):
             runs.final_evaluation(train, None, finalists, bad, (20,), (1,))  # fails before the test rows are touched
+    (tmp_path / "there").mkdir()
+    for sizes, output, what in (((20, 101), None, "training rows"), ((20,), archive, "replace"), ((20,), f"file://{archive}/x", "replace"), ((20,), finalists, "replace"), ((20,), f"{tmp_path}/there", "already")):
+        with pytest.raises(ValueError, match=what):
+            runs.final_evaluation(train, None, finalists, specs, sizes, (1,), output)
     out = runs.final_evaluation(train, test, finalists, specs, (20,), (1,), f"{tmp_path}/runs")
     rows = {r.representation: r for r in out.collect()}
     assert set(rows) == {s.name for s in specs} | {name for name, _, _ in reports.CONTROLS} and spark.read.json(f"{tmp_path}/runs").count() == 4

@@ -38,3 +38,18 @@ def test_search(spark, tmp_path):
         Search(spark, path, seed_specs(), evaluate, propose).run(1, True)
     with pytest.raises(CompilationError):
         Search(spark, path, [spec("bad", "hog")], evaluate, propose).run(0, 1)
+
+
+def test_specifications_cannot_be_changed():
+    given = {"threshold": 0.25, "more": [1, {"x": [2]}]}
+    operator = OperatorSpec("topology", given)
+    text = operator.to_json()
+    given["threshold"] = 0.5
+    given["more"][1]["x"].append(3)
+    operator.as_dict()["params"]["more"][1]["x"].append(4)
+    assert operator.to_json() == text == '{"name":"topology","params":{"more":[1,{"x":[2]}],"threshold":0.25}}'
+    for change in (lambda: operator.params.update(threshold=1), lambda: operator.params.__setitem__("x", 1), lambda: operator.params["more"].append(1), lambda: operator.params["more"][1].clear()):
+        with pytest.raises((TypeError, AttributeError)):
+            change()
+    again = RepresentationSpec("n", "h", (operator,), "p", "f")
+    assert RepresentationSpec.from_json(again.to_json()) == again and OperatorSpec("topology", {"threshold": 0.25}) != operator
