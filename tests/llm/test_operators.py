@@ -653,6 +653,26 @@ def test_search_of_clustered_vectors_probes_few_lists(spark):
         assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) > 0.93
 
 
+def test_search_misses_nothing_whatever_the_vectors(spark):
+    """Flat ones, lengths of several orders, few rows that are far larger than most of the sample, ones whose squares no
+    single precision holds, and many copies: the neighbours are those of brute force, in order."""
+    rng = np.random.default_rng(5)
+    n = 1500
+    flat = rng.normal(size=(n, 24))
+    cases = [flat, flat * np.exp(rng.normal(size=(n, 1)) * 1.5), np.where(np.arange(n)[:, None] % 50 < 1, flat * 0.001, flat * 100), flat * 1e30, np.where(rng.random((n, 1)) < 0.3, flat[:1], flat)]
+    for x in cases:
+        rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+        vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+        for options in ({}, {"shard_rows": 100, "chunk": 7, "shortlist": 20, "recall": 0.3}):
+            got = defaultdict(list)
+            for r in ann.search(vectors, 50, **options).orderBy("query_id", "rank").collect():
+                got[r.query_id].append(r.vec_id)
+            y = np.array([v for _, v in rows])
+            for i in range(0, n, 50):
+                score, ids = (y * y[i]).sum(axis=1), np.delete(np.arange(n), i)
+                assert got[i] == ids[np.lexsort((ids, -score[ids]))][:20].tolist()
+
+
 def test_lists_are_dealt_into_shards_of_bounded_rows():
     rng = np.random.default_rng(1)
     sizes = rng.integers(0, 50, 64)
