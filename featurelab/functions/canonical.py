@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that JSON writes by a letter after a backslash, by code unit.
-SHORT = {"0022": '\\"', "005c": "\\\\", "0008": "\\b", "0009": "\\t", "000a": "\\n", "000c": "\\f", "000d": "\\r"}
+#: Characters that JSON writes by a letter after a backslash; the backslash itself comes first.
+SHORT = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 
 
 def json_string(text: Column) -> Column:
-    """``text`` as a JSON string: control characters and code units above 126 are written by their number."""
-    units = F.lower(F.hex(F.encode(text, "UTF-16BE")))
-
-    def written(at: Column) -> Column:
-        unit = F.substring(units, 4 * at + 1, F.lit(4))
-        out = F.when(F.lit(False), "")
-        for code, short in SHORT.items():
-            out = out.when(unit == code, short)
-        return out.when((unit < "0020") | (unit > "007e"), F.concat(F.lit("\\u"), unit)).otherwise(F.chr(F.conv(unit, 16, 10).cast("long")))
-
-    odd = F.transform(F.when(text != "", F.sequence(F.lit(0), (F.length(units) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>")), written)
-    plain = ~text.rlike(r'[^\x20-\x7e]|["\\\\]')  # nothing to escape, as in most texts
-    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(odd, "")), F.lit('"'))
+    """``text`` as a JSON string: control characters and code units above 126 are written by their number. Texts without
+    such are escaped as a whole, the others character by character; most have nothing to escape."""
+    text = F.coalesce(text, F.lit(""))
+    short = text
+    for character, written in SHORT.items():
+        short = F.replace(short, F.lit(character), F.lit(written))
+
+    def by_number(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when((c == "") | ((c >= " ") & (c <= "~")), c).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    odd = F.array_join(F.transform(F.split(short, ""), by_number), "")
+    return F.concat(F.lit('"'), F.when(~text.rlike(r'[^\x20-\x7e]|["\\]'), text).when(short.rlike(r"[^\x20-\x7e]"), odd).otherwise(short), F.lit('"'))
 
 
 def spec_json(name: Column, hypothesis: Column, prediction: Column, falsification: Column, operators: Column) -> Column:

@@ -136,3 +136,14 @@ def test_faults_are_named_by_file_and_line(spark, tmp_path):
         assert files.check_archive(spark, f"file://{tmp_path}/b.json") == 399
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_strings_of_long_texts_take_time_by_their_length(spark):
+    from time import perf_counter
+
+    texts = ["", 'q"\\b\n\t\r\f\b', "\x00\x1f\x7f~ é", "\U0001f600 x\\u $1", "$0\\1", "\uffff", 'ä"\n\\ ' * 6000, 'a"\n\\ ' * 6000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    began = perf_counter()
+    got = {r.k: r.j for r in rows.select("k", canonical.json_string(F.col("t")).alias("j")).collect()}
+    assert perf_counter() - began < 15
+    assert got == {k: json.dumps(t) for k, t in enumerate(texts)}
