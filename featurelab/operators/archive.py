@@ -14,10 +14,12 @@ def _order(spec: tuple) -> list:
 
 
 def rankable(records: DataFrame) -> DataFrame:
-    """Candidates, and ablations that are strictly more accurate than the record they come from."""
+    """Candidates, and ablations that are strictly more accurate than the record they come from. Only ablations are
+    joined, by sort and merge: there is a base per record, too many for the driver to broadcast."""
     base = records.select(F.col("candidate_id").alias("_id"), F.col("accuracy_500").alias("_base"))
-    joined = records.join(base, F.col("base_candidate_id") == F.col("_id"), "left")
-    return joined.filter((F.col("record_type") == "candidate") | (F.col("accuracy_500") > F.col("_base"))).drop("_id", "_base")
+    candidate = F.coalesce(F.col("record_type") == "candidate", F.lit(False))
+    better = records.filter(~candidate).join(base.hint("merge"), (F.col("base_candidate_id") == F.col("_id")) & (F.col("accuracy_500") > F.col("_base")))
+    return records.filter(candidate).unionByName(better.drop("_id", "_base"))
 
 
 def top(records: DataFrame, k: int, by: tuple = BY_SCORE) -> DataFrame:
@@ -37,7 +39,7 @@ def with_roles(records: DataFrame, forced_id: str | None = None) -> DataFrame:
     if forced_id:
         chosen = chosen.unionByName(records.filter((F.col("candidate_id") == forced_id) & (F.col("record_type") == "candidate")).select("candidate_id", F.lit("original_stroke_flow_hypothesis").alias("role"), F.lit(8).alias("ord")))
     roles = chosen.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.min("ord").cast("bigint").alias("ord"))
-    return roles.join(records.select("candidate_id", "accuracy_500", "feature_dim"), "candidate_id")
+    return F.broadcast(roles).join(records.select("candidate_id", "accuracy_500", "feature_dim"), "candidate_id")  # eight rows at most
 
 
 def ablation_candidates(records: DataFrame, elites: int = 5) -> DataFrame:
@@ -48,11 +50,11 @@ def ablation_candidates(records: DataFrame, elites: int = 5) -> DataFrame:
     return first.select("parent_id", "removed", F.array_join(rest, ",").alias("remaining"), F.substring(F.sha2("removed", 256), 1, 8).alias("suffix"))
 
 
-def ablation_deltas(records: DataFrame) -> DataFrame:
-    """Accuracy of each ablation's base, its own, and what the operator was worth."""
+def ablation_deltas(records: DataFrame, *more: str) -> DataFrame:
+    """Accuracy of each ablation's base, its own, what the operator was worth, and columns ``more`` of the ablation."""
     base = records.select(F.col("candidate_id").alias("base_candidate_id"), F.col("accuracy_500").alias("with_operator"))
-    a = records.filter("record_type = 'ablation'").select("candidate_id", "base_candidate_id", "removed_operator", F.col("accuracy_500").alias("without_operator"))
-    return a.join(base, "base_candidate_id").withColumn("delta", F.round(F.col("with_operator") - F.col("without_operator"), 6))
+    a = records.filter("record_type = 'ablation'").select("candidate_id", "base_candidate_id", "removed_operator", F.col("accuracy_500").alias("without_operator"), *more)
+    return a.join(base.hint("merge"), "base_candidate_id").withColumn("delta", F.round(F.col("with_operator") - F.col("without_operator"), 6))
 
 
 def dedupe_proposals(specs: DataFrame, history: DataFrame) -> DataFrame:
