@@ -17,7 +17,8 @@ _STATE = "part int, state binary"
 
 def merged(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], T], merge: Callable[[T, T], T], groups: int = 16, tasks: int | None = None) -> T | None:
     """``merge`` of ``of_batch`` over all batches of ``rows``, None without rows. The tasks' states are dealt to ``groups``
-    tasks, whose states the driver merges; that is left out if ``tasks``, the number of tasks, is known to be no more."""
+    tasks, whose states one task merges, so that the driver is sent a single one; the first is left out if ``tasks``, the
+    number of tasks, is known to be no more, and both if it is one."""
 
     def told(state: T | None) -> Iterator[pa.RecordBatch]:
         if state is not None:
@@ -42,6 +43,8 @@ def merged(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], T], merge: Call
     states = rows.mapInArrow(partial, _STATE)
     if tasks is None or tasks > groups:
         states = states.repartition(groups, "part").mapInArrow(together, _STATE)
+    if tasks != 1:
+        states = states.repartition(1).mapInArrow(together, _STATE)  # ``groups`` states at most
     state = None
     for r in states.collect():
         own = pickle.loads(bytes(r.state))

@@ -19,6 +19,11 @@ RESULT = (
 )
 
 
+#: Values of the samples' features that a task of a fit's pass has about: of samples of bounded size it takes few tasks,
+#: and so few states that are merged, however many partitions the images have.
+TASK_VALUES = 2_000_000
+
+
 def ranking_score(small: float, large: float, feature_dim: int, runtime_ms: float) -> float:
     """As ``records.ranking_score`` has it, of numbers."""
     return 0.6 * small + 0.4 * large - 0.001 * log1p(feature_dim) - 0.0001 * log1p(runtime_ms)
@@ -51,7 +56,8 @@ def fit_and_apply(images: DataFrame, lists: Sequence[Sequence[OperatorSpec]], sa
         fit_rows, held_out_rows = rows.agg(F.count(F.when(F.size("samples") > 0, 1)), F.count(F.when(F.col("held_out"), 1))).first()
         extracted = perf_counter()
         models = [many_fits.Model(s, places) for places in plan.places for s in range(len(samples))]
-        fitted = many_fits.fit_many(rows.filter(F.size("samples") > 0), models)
+        width = 1 + max(p for places in plan.places for p in places)
+        fitted = many_fits.fit_many(rows.filter(F.size("samples") > 0).coalesce(max(1, fit_rows * width // TASK_VALUES)), models)
         trained = perf_counter()
         found = many_fits.confusion_many(rows.filter("held_out"), fitted)
         ended = perf_counter()
