@@ -1,9 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Python only tokenises: ids and byte ends of both tokenizers, a document a row. All else are Spark's higher-order
-functions. Bytes where both end (``array_intersect``) cut the tokens into groups; which token covers a byte is looked up
-in an array with an element per byte (``array_repeat`` over lengths), so groups and links take one lookup each, whatever
-the document's length. Each byte where either ends gives one link: the pair of tokens that cover it.
+Spark deals out the documents; a task cuts each into pieces that no token runs over, and tokenises and aligns each
+different piece once. Bytes where both tokenizers end cut a piece's tokens into groups. Each byte where either ends gives
+one link: the pair of tokens that cover it. A document's groups and links are those of its pieces, one after another.
 
 Pairs are counted over documents and looked up for every link: pairs held by many documents, at most ``broadcast_pairs``
 of them, are broadcast, all others are joined by a shuffle.
@@ -16,17 +15,18 @@ empty result; further columns don't matter.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, released, small_batches
 
-CHUNKS = "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,at:array<int>>>, pieces array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>>"
+DOCUMENTS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links array<bigint>"
 SPACE = "▁"
 
 
@@ -42,7 +42,8 @@ class Pair:
     """Both tokenizers over texts in batches.
 
     No token of either runs over the border between a character that is no white space and a space after it, so texts
-    are cut there; pieces seen before come from a table of their tokens, which is dropped when it is large."""
+    are cut there; pieces seen before come from a table of their tokens, groups and links, which is dropped when it is
+    large."""
 
     def __init__(self, a: str, b: str, ranks: str | None = None, remember: int = 400_000):
         import sentencepiece
@@ -75,9 +76,13 @@ class Pair:
         self._ids = (array("i"), array("i"))
         self._first = (array("q", [0]), array("q", [0]))
         self._wrong = bytearray()
+        self._links, self._first_link = array("q"), array("q", [0])  # A's id times 2^32 plus B's
+        self._groups: list[bytes] = []
+        self._n_groups = array("q")
 
     def _add(self, pieces: list[str]) -> None:
         """New ones. Each begins with a space, of which B's pieces have the first by themselves; A gives all bytes back."""
+        before = len(self._wrong)
         for piece, a, b in zip(pieces, map(self._encode_a, pieces), self._b.encode([p[1:] for p in pieces], num_threads=1)):
             b = b or [self._space]
             self._seen[piece] = len(self._wrong)
@@ -85,6 +90,34 @@ class Pair:
             for ids, flat, first in zip((a, b), self._ids, self._first):
                 flat.extend(ids)
                 first.append(len(flat))
+        self._align(before)
+
+    def _align(self, before: int) -> None:
+        """Groups and links of the pieces from number ``before`` on; wrong ones, which no text uses, have none."""
+        right = np.frombuffer(self._wrong, np.uint8)[before:] == 0
+        ids, ends = [], []
+        for flat, begin, lengths in zip(self._ids, self._first, (self._a_len, self._b_len)):
+            begin = np.frombuffer(begin, np.int64)[before:]
+            own = np.frombuffer(flat, np.int32)[begin[0] :][np.repeat(right, np.diff(begin))].astype(np.int64)
+            ids.append(own)
+            ends.append(np.cumsum(lengths[own], dtype=np.int64))  # over all right pieces, of which both have the same bytes
+            last = np.cumsum(np.diff(begin) * right)
+        (a, b), (a_end, b_end) = ids, ends
+        over = np.concatenate([[0], b_end])[last]  # where each piece ends
+        every, common = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
+        self._first_link.extend((len(self._links) + np.searchsorted(every, over, side="right")).tolist())
+        self._links.frombytes(((a[np.searchsorted(a_end, every)] << 32) + b[np.searchsorted(b_end, every)]).tobytes())
+        cut = np.searchsorted(common, over, side="right")
+        self._n_groups.extend(np.diff(cut, prepend=0).tolist())
+        a, b, texts = list(map(str, a.tolist())), list(map(str, b.tolist())), []
+        i = j = 0
+        for i2, j2 in zip((np.searchsorted(a_end, common) + 1).tolist(), (np.searchsorted(b_end, common) + 1).tolist()):
+            texts.append(f"{a[i]}|{b[j]}" if i2 - i == j2 - j == 1 else ",".join(a[i:i2]) + "|" + ",".join(b[j:j2]))
+            i, j = i2, j2
+        k = 0
+        for k2 in cut.tolist():
+            self._groups.append(";".join(texts[k:k2]).encode())
+            k = k2
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -101,9 +134,8 @@ class Pair:
             open_ = not p or p[-1].isspace()
         return out
 
-    def chunk(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """(offsets of the texts' pieces, places of these among the chunk's different pieces; for A and B: offsets of the
-        different pieces' tokens, ids, byte ends within the piece)."""
+    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets of the texts' pieces, their numbers in the table)."""
         if len(self._seen) > self._most:
             self._forget()
         every, first = [], [0]
@@ -117,35 +149,55 @@ class Pair:
         rows, n = np.array(rows, dtype=np.int64), np.diff(first)
         wrong = np.concatenate([[0], np.cumsum(np.frombuffer(self._wrong, np.uint8)[rows])])
         good = wrong[first[1:]] == wrong[first[:-1]]
-        rows, n = rows[np.repeat(good, n)], n * good
+        return np.concatenate([[0], np.cumsum(n * good)]), rows[np.repeat(good, n)]
+
+    def chunk(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """(offsets of the texts' pieces, places of these among the chunk's different pieces; for A and B: offsets of the
+        different pieces' tokens, ids, byte ends within the piece)."""
+        first, rows = self.found(texts)
         pieces, place = np.unique(rows, return_inverse=True)
         sides = []
         for flat, begin, lengths in zip(self._ids, self._first, (self._a_len, self._b_len)):
-            begin = np.frombuffer(begin, np.int64)
-            many = begin[pieces + 1] - begin[pieces]
-            upto = np.concatenate([[0], np.cumsum(many)])
-            ids = np.frombuffer(flat, np.int32)[np.repeat(begin[pieces] - upto[:-1], many) + np.arange(upto[-1])] if len(flat) else np.zeros(0, np.int32)
+            upto, ids = _gathered(np.frombuffer(flat, np.int32), np.frombuffer(begin, np.int64), pieces)
             ends = np.concatenate([[0], np.cumsum(lengths[ids], dtype=np.int64)])
-            sides.append((upto, ids, (ends[1:] - np.repeat(ends[upto[:-1]], many)).astype(np.int32)))
-        return np.concatenate([[0], np.cumsum(n)]), place, sides
+            sides.append((upto, ids, (ends[1:] - np.repeat(ends[upto[:-1]], np.diff(upto))).astype(np.int32)))
+        return first, place, sides
+
+    def documents(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray]:
+        """(A tokens, B tokens and groups of each text; digests of its groups; offsets of its links; links, sorted within
+        their text)."""
+        first, rows = self.found(texts)
+
+        def summed(each: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(each[rows])])[first])
+
+        counts = [summed(np.diff(np.frombuffer(begin, np.int64))) for begin in self._first] + [summed(np.frombuffer(self._n_groups, np.int64))]
+        upto, links = _gathered(np.frombuffer(self._links, np.int64), np.frombuffer(self._first_link, np.int64), rows)
+        upto, groups, digests = upto[first], list(map(self._groups.__getitem__, rows.tolist())), []
+        for i, j, x, y in zip(first[:-1].tolist(), first[1:].tolist(), upto[:-1].tolist(), upto[1:].tolist()):
+            digests.append(hashlib.sha256(b";".join(groups[i:j])).hexdigest() if j > i else "")
+            links[x:y].sort()
+        return counts, digests, upto, links
+
 
+def _gathered(flat: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of the lists ``rows``, one after another; list k is ``flat`` from ``begin[k]`` to ``begin[k + 1]``."""
+    many = begin[rows + 1] - begin[rows]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    return upto, flat[np.repeat(begin[rows] - upto[:-1], many) + np.arange(upto[-1])]
 
-def tokenised(docs: DataFrame, a: str, b: str, ranks: str | None = None, rows: int = 2048, size: int = 1 << 21) -> DataFrame:
-    """CHUNKS of ``docs`` (doc_id, text): ``rows`` documents at most, and about ``size`` characters unless one document
-    has more. A piece's ends are those within it."""
+
+def aligned(docs: DataFrame, a: str, b: str, ranks: str | None = None, rows: int = 2048, size: int = 1 << 21) -> DataFrame:
+    """DOCUMENTS of ``docs`` (doc_id, text), read in chunks of ``rows`` documents at most, and about ``size`` characters
+    unless one document has more."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(a, b, ranks)
 
         def one(ids: list, texts: list) -> pa.RecordBatch:
-            first, place, sides = pair.chunk(texts)
-            lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-            many = [np.add.reduceat(np.append(np.diff(upto)[place], 0), first[:-1]) * (np.diff(first) > 0) for upto, *_ in sides]
-            docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), *(pa.array(n.astype(np.int64)) for n in many), lists(first, pa.array(place.astype(np.int32)))], names=["doc_id", "n_a", "n_b", "at"])
-            tokens = [lists(upto, pa.array(x)) for upto, *both in sides for x in both]
-            pieces = pa.StructArray.from_arrays(tokens, names=["a_ids", "a_ends", "b_ids", "b_ends"])
-            whole = [lists(np.array([0, len(x)]), x) for x in (docs, pieces)]
-            return pa.RecordBatch.from_arrays(whole, names=["docs", "pieces"])
+            counts, digests, upto, links = pair.documents(texts)
+            columns = [pa.array(ids, pa.int64()), *(pa.array(n.astype(np.int64)) for n in counts), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(links))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
         for batch in batches:
             ids, texts, held = [], [], 0
@@ -159,52 +211,7 @@ def tokenised(docs: DataFrame, a: str, b: str, ranks: str | None = None, rows: i
             if ids:
                 yield one(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, CHUNKS)
-
-
-def _cover(ends: Column) -> Column:
-    """An element for each byte: the place of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda end, i: F.array_repeat(i, end - F.when(i > 0, F.get(ends, i - 1)).otherwise(0))))
-
-
-def _listed(ids: Column, last: Column, k: Column) -> Column:
-    """The ids of group ``k`` (from 1); ``last`` holds the place of each group's last token."""
-    end, before = F.get(last, k - 1), F.when(k > 1, F.get(last, k - 2)).otherwise(-1)
-    return F.when(end - before == 1, F.get(ids, end).cast("string")).otherwise(F.array_join(F.slice(ids, before + 2, end - before).cast("array<string>"), ","))
-
-
-def aligned(chunks: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of each document: the groups' text, and links as A's id times 2^32
-    plus B's. Groups never run over the end of a piece, so each different piece of a chunk is aligned once; where both
-    tokenizers cut a piece alike, token meets token."""
-    link = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
-
-    def covers(p: Column) -> Column:
-        """Null for a piece that both cut alike."""
-        unlike = F.struct(F.array_union(p.a_ends, p.b_ends).alias("ends"), F.array_intersect(p.a_ends, p.b_ends).alias("common"), _cover(p.a_ends).alias("a_at"), _cover(p.b_ends).alias("b_at"))
-        return F.struct(p.a_ids, p.b_ids, F.when(p.a_ends != p.b_ends, unlike).alias("cut"))
-
-    def pairs(p: Column) -> Column:
-        links = F.transform(p.cut.ends, lambda e: link(F.get(p.a_ids, F.get(p.cut.a_at, e - 1)), F.get(p.b_ids, F.get(p.cut.b_at, e - 1))))
-        last = lambda at: F.transform(p.cut.common, lambda e: F.get(at, e - 1))
-        return F.struct(p.a_ids, p.b_ids, last(p.cut.a_at).alias("a_last"), last(p.cut.b_at).alias("b_last"), F.coalesce(links, F.zip_with(p.a_ids, p.b_ids, link)).alias("links"))
-
-    def grouped(p: Column) -> Column:
-        of_group = lambda k: F.concat(_listed(p.a_ids, p.a_last, k), F.lit("|"), _listed(p.b_ids, p.b_last, k))
-        of_token = lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
-        texts = F.when(p.a_last.isNull(), F.zip_with(p.a_ids, p.b_ids, of_token)).otherwise(F.transform(F.sequence(F.lit(1), F.size(p.a_last)), of_group))
-        return F.struct(F.size(F.coalesce(p.a_last, p.a_ids)).cast("long").alias("n"), F.array_join(texts, ";").alias("groups"), p.links)
-
-    df = chunks
-    for step in (covers, pairs, grouped):
-        df = df.select("docs", F.transform("pieces", step).alias("pieces"))
-
-    def of_doc(d: Column) -> Column:
-        of_piece = lambda name: F.transform(d.at, lambda i: F.get("pieces", i).getField(name))
-        n = F.aggregate(d.at, F.lit(0).cast("long"), lambda total, i: total + F.get("pieces", i).getField("n"))
-        return F.struct(d.doc_id, d.n_a, d.n_b, n.alias("n_groups"), F.array_join(of_piece("groups"), ";").alias("groups"), F.flatten(of_piece("links")).alias("links"))
-
-    return df.select(F.inline(F.transform("docs", of_doc)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(encode), DOCUMENTS)
 
 
 def _looked_up(documents: DataFrame, pairs: DataFrame, broadcast_pairs: int) -> DataFrame:
@@ -231,9 +238,7 @@ def alignments(docs: DataFrame, a: str, b: str, ranks: str | None = None, broadc
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``docs``. Links are written
     once, sorted within their document, in which they take little room."""
     with small_batches(docs.sparkSession):
-        each = aligned(tokenised(docs, a, b, ranks))
-        digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-        documents = materialize(each.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), F.sort_array("links").alias("links")), "links")
+        documents = materialize(aligned(docs, a, b, ranks).select(F.monotonically_increasing_id().alias("row"), "*"), "links")
     held = documents.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
     pairs, a_id = materialize(held, "pairs"), F.shiftright("pair", 32)
     most = pairs.groupBy(a_id.alias("_a")).agg(F.max("count").alias("_most"))

@@ -183,6 +183,21 @@ def test_forgotten_pieces_and_chunks_of_any_size(spark, tokenizers):
             assert ids == whole(tokenizers, text)[0]
 
 
+def test_pieces_are_aligned_once(tokenizers, monkeypatch):
+    """However many documents and chunks hold a piece, its groups and links are made once."""
+    made = []
+    align = alignment.Pair._align
+    monkeypatch.setattr(alignment.Pair, "_align", lambda self, before: (made.append(len(self._wrong) - before), align(self, before))[1])
+    texts = odd_texts()[-200:]
+    want, pair = brute(tokenizers, texts), alignment.Pair(A, B, RANKS)
+    for _ in range(3):
+        for i in range(0, len(texts), 9):
+            counts, digests, upto, links = pair.documents(texts[i : i + 9])
+            assert list(zip(*(c.tolist() for c in counts), np.diff(upto).tolist(), digests)) == [(*r[:4], r[6]) for r in want[i : i + 9]]
+            assert all((np.diff(links[x:y]) >= 0).all() for x, y in zip(upto[:-1], upto[1:]))
+    assert sum(made) == len({p for t in texts if t for p in pair.pieces(t)})
+
+
 # ---------------------------------------------------------------- lines
 
 
