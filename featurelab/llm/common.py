@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def give_back(spark: SparkSession) -> None:
+    """The driver's JVM gives native memory that it has freed back to the system, as workers do in :func:`released`: many
+    plans make its compilers and codecs free much that the C library would keep. A JVM without that command keeps it."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    name_of, types, values = jvm.java.lang.Class.forName, new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    try:
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[k] = name_of(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's own class isn't public, so its interface is asked
+        name_of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs only a reread."""
+    executor costs only a reread. What the driver freed meanwhile is given back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import id_crc, materialize, text_slices
+from .common import give_back, id_crc, materialize, text_slices
 
 #: Buckets of hashed n-grams, and texts at once at most: their vectors take 16 MB.
 BUCKETS, ROWS = 2048, 1024
@@ -102,7 +102,9 @@ def fit(docs: DataFrame, per_language: int = 1200) -> dict:
     for f, lang in known:
         by.setdefault(f, []).append(lang)
     families = {p: _svm(rows, "family", p) for p in combinations(sorted(by), 2)}
+    give_back(docs.sparkSession)  # each machine is many jobs
     languages = {p: _svm(rows, "lang", p) for f in by for p in combinations(by[f], 2)}
+    give_back(docs.sparkSession)
     return {"by": by, "families": families, "languages": languages}
 
 
