@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import give_back, id_crc, materialize, text_slices
+from .common import give_back, id_crc, materialize, released, text_slices
 
 #: Buckets of hashed n-grams, and texts at once at most: their vectors take 16 MB.
 BUCKETS, ROWS = 2048, 1024
@@ -81,7 +81,7 @@ def training_rows(docs: DataFrame, per_language: int = 1200) -> DataFrame:
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), BUCKETS).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), lists], names=["lang", "x"])
 
-    return near.mapInArrow(vectors, "lang string, x array<float>")
+    return near.mapInArrow(released(vectors), "lang string, x array<float>")
 
 
 def _svm(rows: DataFrame, column: str, pair: tuple[str, str]) -> tuple[np.ndarray, float]:
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "_lang_pred", "_lang_score"])
 
     schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(label, schema)
+    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(released(label), schema)
 
 
 def predicted_languages(docs: DataFrame, folds: int = 5) -> DataFrame:

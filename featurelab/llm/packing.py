@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, released
 
 END = 2
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, ranks: s
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(released(cut), PIECES)
 
 
 def _completions(counts: np.ndarray, room: int, most: int = 24, per_part: float = 0) -> list[tuple[int, ...]]:
